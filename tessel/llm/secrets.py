@@ -66,24 +66,25 @@ def ordinary_and_random(docs: DataFrame, samples: int = SAMPLE_STRINGS) -> DataF
     return pick(words, False).unionAll(pick(found, True))
 
 
-def train_markov(labelled: DataFrame, smoothing: float = 0.5) -> MarkovModels:
+def train_markov(labelled: DataFrame, smoothing: float = 0.5, backoff: float = 4.0) -> MarkovModels:
     """First-order models of the labelled strings (string, random), counted by Spark; the counts are one row
-    a pair of characters and kind. Pairs never seen have the smoothing's share; with no strings of a kind,
-    that model is uniform. Null strings are left out."""
+    a pair of characters and kind. A model's P(b after a) falls back, with the weight of `backoff` sightings, on its P(b),
+    which is smoothed; with no strings of a kind, that model is uniform. Null strings are left out."""
     place = F.expr("sequence(1, length(string) - 1)")
     pairs = labelled.where("length(string) >= 2").select("random", "string", F.explode(place).alias("k"))
     counts = pairs.groupBy("random", F.expr("substring(string, k, 1)").alias("a"), F.expr("substring(string, k + 1, 1)").alias("b")).count()
     kept = counts.where(F.col("a").isin(*ALPHABET) & F.col("b").isin(*ALPHABET))
     at = {c: k for k, c in enumerate(ALPHABET)}
     w = len(ALPHABET)
-    n = {kind: [[smoothing] * w for _ in range(w)] for kind in (False, True)}
+    n = {kind: [[0] * w for _ in range(w)] for kind in (False, True)}
     for r in kept.collect():  # at most 2 * 67 * 67 rows
         n[r["random"]][at[r["a"]]][at[r["b"]]] += r["count"]
-    ratio = []
-    for a in range(w):
-        total = {kind: sum(n[kind][a]) for kind in n}
-        ratio += [math.log(n[True][a][b] / total[True]) - math.log(n[False][a][b] / total[False]) for b in range(w)]
-    return MarkovModels(tuple(ratio))
+    log = {}
+    for kind, seen in n.items():
+        single = [smoothing + sum(row[b] for row in seen) for b in range(w)]
+        total = sum(single)
+        log[kind] = [math.log((seen[a][b] + backoff * single[b] / total) / (sum(seen[a]) + backoff)) for a in range(w) for b in range(w)]
+    return MarkovModels(tuple(r - o for r, o in zip(log[True], log[False], strict=True)))
 
 
 def log_ratio(string: Column, models: MarkovModels) -> Column:

@@ -64,11 +64,40 @@ def bounded_broadcast(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while base in have:
+        base += "_"
+    return base
+
+
 def fold(doc_id: str, parts: int):
     """crc32 of the id's decimal text modulo parts."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+def scaled(k: int) -> np.uint64:
+    """k times GOLDEN, modulo 2**64."""
+    return np.uint64(k * int(GOLDEN) & 0xFFFF_FFFF_FFFF_FFFF)
+
+
+#: How many times the wanted rows a hash sample is expected to hold before it is cut.
+SAMPLE_MARGIN = 4
+
+
+def hash_sample(df: DataFrame, rows: int, *hashed) -> DataFrame:
+    """The `rows` rows of df with the smallest hashes, ties by all columns.
+
+    Only rows below a hash that leaves SAMPLE_MARGIN times as many in expectation are ordered, so what the one
+    ordering task reads doesn't grow with the number of partitions.
+    """
+    key = F.pmod(F.xxhash64(*hashed), F.lit(1 << 40))
+    n = df.count()
+    rest = df.where(key < int((1 << 40) * SAMPLE_MARGIN * rows / n) + 1) if n > SAMPLE_MARGIN * rows else df
+    return rest.orderBy(key, *df.columns).limit(rows)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (splitmix64); wraps modulo 2**64."""
     h = (h ^ (h >> np.uint64(30))) * MIX_A

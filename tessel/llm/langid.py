@@ -145,10 +145,15 @@ def _parser(samples: LanguageSamples) -> CrossParser:
 def language_samples(docs: DataFrame, rows: int = 64, chars: int = 400) -> LanguageSamples:
     """A bounded sample of labelled text: per language `rows` rows in the order of their hashes, and
     `chars` characters from the middle of each. Rows without language or letters are left out."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     labelled = docs.select("lang", "text").where("lang is not null and lang <> 'und' and text rlike '\\\\p{L}'")
+    key = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    # a row a language; of a language with many rows, only small hashes are ranked
+    counts = [(r["lang"], int((1 << 40) * min(1.0, 16 * rows / r["n"]))) for r in labelled.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()]
+    if not counts:
+        return LanguageSamples()
+    below = F.create_map(*(F.lit(x) for c in counts for x in c))[F.col("lang")]
     middle = F.expr(f"substring(text, cast(greatest(1, (length(text) - {int(chars)}) / 2) as int), {int(chars)})")
-    picked = labelled.select("lang", F.xxhash64("text").alias("h"), middle.alias("text"))
+    picked = labelled.where(key <= below).select("lang", key.alias("h"), middle.alias("text")).distinct()
     order = Window.partitionBy("lang").orderBy("h", "text")
     picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("lang", "n", "text")
     by: dict[str, list[str]] = {}

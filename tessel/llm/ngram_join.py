@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, materialise, mix64, shingle_set, word_hashes
+from .common import GOLDEN, fresh_name, materialise, mix64, scaled, shingle_set, word_hashes
 from .components import connected_components
 
 #: Bands grow by this factor.
@@ -73,15 +73,15 @@ def tile_keys(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
     while True:
         differ = threshold.most_different(int(BANDS[band + 1]) - 1)
         parts = 1 if differ == 0 else differ + differ // 8 + 3
-        h = mix64(shingles + np.uint64(band) * GOLDEN)
+        h = mix64(shingles + scaled(band))
         part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, mix64(h ^ MIX_PART))
         filled = np.nonzero(np.bincount(part, minlength=parts))[0]
-        tag = mix64(np.uint64(band) * GOLDEN + filled.astype(np.uint64) + np.uint64(1))
+        tag = mix64(filled.astype(np.uint64) + scaled(band) + np.uint64(1))
         out.append(mix64(sums[filled] ^ tag))
         if len(filled) <= differ:
-            out.append(mix64(np.array([band], np.uint64) * GOLDEN + np.uint64(0xFFFF_FFFF)))
+            out.append(mix64(np.array([0xFFFF_FFFF], np.uint64) + scaled(band)))
         band += 1
         if n < threshold.least_partner(int(BANDS[band])):
             return np.concatenate(out)
@@ -296,8 +296,9 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     Of the rows of one doc_id in a component one stays; rows of a null doc_id stay.
     """
     found = ngram_jaccard_join(docs, shingle, percent)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    name = fresh_name(docs, "gone")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    rest = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
     if not _repeats(docs.where("doc_id is not null")):
         return rest
     return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))

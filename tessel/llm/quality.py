@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 #: Rows of each kind, positive and unlabelled, of the fitted sample.
 SAMPLE_ROWS = 6000
 
@@ -135,7 +137,7 @@ def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sampled(ids: DataFrame, kind: int, rows: int) -> DataFrame:
-    picked = ids.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(kind)), "doc_id").limit(rows)
+    picked = hash_sample(ids.select("doc_id").where("doc_id is not null").distinct(), rows, F.col("doc_id"), F.lit(kind))
     return picked.select(F.col("doc_id").alias("k"), F.lit(kind).alias("kind"))
 
 

@@ -15,10 +15,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 #: Labelled rows of the fitted sample.
 SAMPLE_ROWS = 20_000
-#: Words that the model weighs, and the rows of the sample that must hold one.
-FEATURES, LEAST_ROWS = 4096, 4
+#: Words that the model weighs at most, the rows of the sample that must hold one, and the least chi-squared statistic
+#: of its presence against the label (15: one of ten thousand unrelated words).
+FEATURES, LEAST_ROWS, LEAST_STRENGTH = 4096, 4, 15.0
 #: A toxic row's grade by how often words occur in it that mark toxic rows: so many for grades 2 and 3.
 GRADE_CUTS = (2, 4)
 
@@ -51,7 +54,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(z[:, None] - self.thresholds[None, :]).clip(-500, 500)))
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, n_columns: int, levels: int, steps: int = 300, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, n_columns: int, levels: int, steps: int = 600, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of the proportional-odds model of a sparse matrix, by Adam on its
     likelihood. Thresholds are t_0 plus sums of exponentials, hence ordered."""
     n = max(1, len(grades))
@@ -99,7 +102,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     several labels of a document the largest counts. Without labelled rows nothing is toxic.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("k")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("k"), "k").limit(rows)
+    chosen = hash_sample(known, rows, F.col("k"))
     # at most `rows` ids: small enough to broadcast
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("toxic", "text")
     got = texts.mapInArrow(_featuriser, "toxic int, words binary, n binary").toPandas()
@@ -122,7 +125,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     expected = all_ * (n_bad / len(toxic))
     strength = np.where(all_ >= LEAST_ROWS, (bad - expected) ** 2 / (expected * (1 - n_bad / len(toxic)) + 1e-9), -1)
     kept = np.sort(np.argsort(-strength, kind="stable")[:features])
-    kept = kept[strength[kept] >= 0]
+    kept = kept[strength[kept] >= LEAST_STRENGTH]
     if toxic.max() > 1:
         grades, levels = toxic, int(toxic.max()) + 1
     else:

@@ -24,7 +24,7 @@ def db():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    show = lambda x: "none" if x is None or x != x or str(x) == "<NA>" else f"{float(x):.9g}" if isinstance(x, int | float | np.number) and not isinstance(x, bool | np.bool_) else str(x)
+    show = lambda x: "none" if str(x) in ("None", "nan", "<NA>", "NaT") else f"{float(x):.9g}" if isinstance(x, int | float | np.number) and not isinstance(x, bool | np.bool_) else str(x)
     return sorted(tuple(show(x) for x in r) for r in df.itertuples(index=False))
 
 

@@ -13,12 +13,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast
+from .common import bounded_broadcast, fresh_name, materialise
 
 #: Fixed: word positions that each mask looks at, in a window of its own span.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 4, 6, 8))
-#: Benchmark windows that are broadcast at most (about 60 bytes each); more are joined by a shuffle.
+LEAST_SPAN = min(m[-1] + 1 for m in MASKS)
+#: Benchmark windows that are broadcast at most (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Items that are broadcast at most, by their words in all; more are joined by a shuffle.
+BROADCAST_WORDS = 2_000_000
+#: Documents are looked through in pieces of so many words, each with the words around it that a window can reach.
+PIECE = 1024
 
 
 @dataclass(frozen=True)
@@ -28,43 +33,42 @@ class Overlap:
 
     window: int = 13
     percent: int = 75
-    least: int = 5
+    least: int = LEAST_SPAN
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words; two words are taken for the same where their hashes are."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed_hashes(hashes: Column, at: Column) -> Column:
-    """(hash, span) of each mask laid at the position `at` (from 0), null where it doesn't fit."""
-    out = []
-    for k, mask in enumerate(MASKS):
-        looked = [F.get(hashes, at + p) for p in mask]
-        out.append(F.when(at + mask[-1] < F.size(hashes), F.xxhash64(F.lit(k), *looked)))
-    return F.array(*out)
+def _seeds(hashes: Column, at: Column) -> Column:
+    """The hash of each mask laid at the position `at` (from 0), null where it doesn't fit."""
+    return F.array(*(F.when(at + mask[-1] < F.size(hashes), F.xxhash64(F.lit(k), *(F.get(hashes, at + p) for p in mask))) for k, mask in enumerate(MASKS)))
 
 
-def benchmark_seeds(benchmark: DataFrame, overlap: Overlap) -> DataFrame:
-    """seed, item_id, item_words, item_at, span of every masked window of every item.
+def benchmark_items(benchmark: DataFrame, overlap: Overlap) -> DataFrame:
+    """item_id, item: the items' word hashes. Items of the same words are looked for once, under their smallest item_id."""
+    items = benchmark.where("text is not null").select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= overlap.least)
+    return items.groupBy("item").agg(F.min("item_id").alias("item_id"))
 
-    Items of the same words are looked for once, under their smallest item_id.
-    """
-    items = benchmark.where("text is not null").select("item_id", words(F.col("text")).alias("item_words")).where(F.size("item_words") >= overlap.least)
-    items = items.groupBy("item_words").agg(F.min("item_id").alias("item_id"))
-    placed = items.withColumn("hashes", F.transform("item_words", lambda w: F.xxhash64(w))).select("*", F.explode(F.sequence(F.lit(0), F.size("item_words") - overlap.least)).alias("item_at"))
-    seeds = placed.select("item_id", "item_words", "item_at", F.posexplode(_seed_hashes(F.col("hashes"), F.col("item_at"))).alias("mask", "seed")).where("seed is not null")
+
+def benchmark_seeds(items: DataFrame) -> DataFrame:
+    """seed, item_id, item_at, span of every masked window of every item."""
+    placed = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - LEAST_SPAN)).alias("item_at"))
+    seeds = placed.select("item_id", "item_at", F.posexplode(_seeds(F.col("item"), F.col("item_at"))).alias("mask", "seed")).where("seed is not null")
     spans = F.element_at(F.array(*(F.lit(m[-1] + 1) for m in MASKS)), F.col("mask") + 1)
-    return seeds.select("seed", "item_id", "item_words", "item_at", spans.alias("span"))
+    return seeds.select("seed", "item_id", "item_at", spans.alias("span"))
 
 
 def _best_window(overlap: Overlap) -> Column:
-    """Most agreeing words of the windows around a hit; columns doc_words, doc_at, item_words, item_at, span."""
-    size = F.least(F.lit(overlap.window), F.size("item_words"))
-    shift = F.col("doc_at") - F.col("item_at")
+    """Most agreeing words of the windows that hold a hit; columns piece, at (in the piece), item, item_at, span."""
+    size = F.least(F.lit(overlap.window), F.size("item"))
+    shift = F.col("at") - F.col("item_at")
     first = F.greatest(F.lit(0), -shift, F.col("item_at") + F.col("span") - size)
-    last = F.least(F.col("item_at"), F.size("item_words") - size, F.size("doc_words") - shift - size)
+    last = F.least(F.col("item_at"), F.size("item") - size, F.size("piece") - shift - size)
     starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    agree = lambda s: F.size(F.filter(F.zip_with(F.slice("item_words", s + 1, size), F.slice("doc_words", s + shift + 1, size), lambda a, b: a == b), lambda same: same))
+    agree = lambda s: F.size(F.filter(F.zip_with(F.slice("item", s + 1, size), F.slice("piece", s + shift + 1, size), lambda a, b: a == b), lambda same: same))
     return F.array_max(F.transform(starts, agree))
 
 
@@ -74,20 +78,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overl
 
     docs(doc_id, text) may hold null texts (no words, no match) and repeated rows (one row together, as
     long as the key is the same); a null doc_id is a key like another. benchmark(item_id, text) may be empty: no rows
-    then. Other columns are ignored.
+    then. Other columns are ignored. A document's words are dealt out in pieces, and a hit carries its
+    piece along, so a long document costs no more a word than a short one.
     """
-    seeds = benchmark_seeds(benchmark, overlap)
-    seeds = bounded_broadcast(seeds, seeds.count(), BROADCAST_WINDOWS)
-    least_span = min(m[-1] for m in MASKS)
-    cut = docs.where("text is not null").select(*(F.col(k).alias(f"key_{k}") for k in key), words(F.col("text")).alias("doc_words"))
-    cut = cut.where(F.size("doc_words") > least_span).withColumn("hashes", F.transform("doc_words", lambda w: F.xxhash64(w)))
-    placed = cut.select("*", F.explode(F.sequence(F.lit(0), F.size("doc_words") - 1 - least_span)).alias("doc_at"))
-    probes = placed.select(*(f"key_{k}" for k in key), "doc_words", "doc_at", F.explode(_seed_hashes(F.col("hashes"), F.col("doc_at"))).alias("seed"))
-    hits = probes.join(seeds, "seed")
-    size = F.least(F.lit(overlap.window), F.size("item_words"))
-    found = hits.select(*(f"key_{k}" for k in key), "item_id", "doc_at", size.alias("window"), _best_window(overlap).alias("matched"))
+    reach = overlap.window - 1
+    keys = [f"key_{k}" for k in key]
+    items = materialise(benchmark_items(benchmark, overlap), "items")
+    sizes = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
+    seeds = benchmark_seeds(items)
+    few = sizes * len(MASKS) <= BROADCAST_WINDOWS
+    cut = docs.where("text is not null").select(*(F.col(k).alias(f"key_{k}") for k in key), word_hashes(F.col("text")).alias("hashes"))
+    starts = F.when(F.size("hashes") > 0, F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(starts, lambda b: F.slice("hashes", F.greatest(b - reach, F.lit(0)) + 1, F.least(b, F.lit(reach)) + PIECE + reach))
+    cut = cut.select(*keys, F.posexplode(pieces).alias("nth", "piece"))
+    own = F.when(F.col("nth") == 0, 0).otherwise(reach)  # where the piece's own words start
+    last = F.least(own + PIECE, F.size("piece") - LEAST_SPAN + 1) - 1
+    cut = cut.where(last >= own)
+    placed = cut.select(*keys, "nth", "piece", F.explode(F.sequence(own, last)).alias("at"))
+    probes = placed.select(*keys, "nth", "piece", "at", F.explode(_seeds(F.col("piece"), F.col("at"))).alias("seed"))
+    doc_at = F.col("nth") * PIECE - own + F.col("at")
+    if few:
+        hits = probes.join(F.broadcast(seeds), "seed")
+    else:  # a shuffled probe takes only the words around it along
+        around = F.slice("piece", F.greatest(F.col("at") - reach, F.lit(0)) + 1, 2 * reach + 1)
+        probes = probes.where("seed is not null").select(*keys, "nth", doc_at.alias("doc_at"), around.alias("piece"), F.least("at", F.lit(reach)).alias("at"), "seed")
+        hits = probes.join(seeds, "seed")
+    met = hits.join(bounded_broadcast(items, sizes, BROADCAST_WORDS), "item_id")
+    size = F.least(F.lit(overlap.window), F.size("item"))
+    found = met.select(*keys, "item_id", (doc_at if few else F.col("doc_at")).alias("doc_at"), size.alias("window"), _best_window(overlap).alias("matched"))
     found = found.where(F.col("matched") * 100 >= F.col("window") * overlap.percent)
-    per = found.groupBy(*(f"key_{k}" for k in key), "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"), F.min("doc_at").cast("long").alias("doc_at"))
+    per = found.groupBy(*keys, "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"), F.min("doc_at").cast("long").alias("doc_at"))
     return per.select(*(F.col(f"key_{k}").alias(k) for k in key), "item_id", "matched", "window", "doc_at")
 
 
@@ -97,6 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Over
     Rows are told apart by doc_id and a hash of their text, so a clean row whose doc_id
     is null or repeated stays.
     """
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("tessel_h"))
-    bad = contaminated(hashed, benchmark, overlap, ("doc_id", "tessel_h")).select(F.col("doc_id").alias("bad_id"), "tessel_h").distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("tessel_h")), "left_anti")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    bad_id, bad_hash = fresh_name(docs, "bad_id"), fresh_name(docs, "bad_hash")
+    bad = contaminated(hashed, benchmark, overlap, ("doc_id", "text_hash")).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_hash)), "left_anti")

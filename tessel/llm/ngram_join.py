@@ -22,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, fresh_name, materialise, mix64, scaled, shingle_set, word_hashes
+from .common import GOLDEN, discard, fresh_name, materialise, mix64, scaled, shingle_set, word_hashes
 from .components import connected_components
 
 #: Bands grow by this factor.
@@ -246,8 +246,9 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, blo
     classes = materialise(classes, "classes")
     first = classes.select("set_a", "set_b", "class").join(whole.select("set_a", "set_b", F.col("doc_id").alias("class"), "keys"), ["class", "set_a", "set_b"])
     keyed = first.select("class", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
-    stars = keyed.join(shared.select("key", "least"), "key").where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
+    # one shuffle of (class, key): classes of a key are sorted and stream past its smallest one
+    least = F.first("class").over(Window.partitionBy("key").orderBy("class"))
+    stars = keyed.withColumn("least", least).where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
     near = materialise(connected_components(stars).withColumnRenamed("component", "group"), "groups")
 
     members = classes.join(near, F.col("class") == F.col("node")).select("set_a", "set_b", "class", "copies", "group", F.col("n_shingles").alias("n"))
@@ -283,7 +284,10 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, blo
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(per_class, ["set_a", "set_b"], "left")
     out = out.join(parts, F.col("doc_id") == F.col("node"), "left")
     n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0)))
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links"))
+    out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links")), "joined")
+    for used in (signed, classes, near, found):
+        discard(used)
+    return out
 
 
 def _repeats(rows: DataFrame) -> bool:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import hash_sample
 
 #: Labelled rows of the fitted sample.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 #: Words that the model weighs at most, the rows of the sample that must hold one, and the least chi-squared statistic
 #: of its presence against the label (15: one of ten thousand unrelated words).
 FEATURES, LEAST_ROWS, LEAST_STRENGTH = 4096, 4, 15.0

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample, materialise
+
 #: Fixed patterns. Java's (?i) folds ASCII letters alone. Runs of hex digits and of access-key characters are
 #: matched whole, so shorter ones than wanted need not be matched.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -20,9 +22,9 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Strings that the models judge: whole runs of these characters, of 20 at least.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Labelled strings of each kind that the models are fitted on at most, and the least ratio
-#: (in nats, a character pair on average) of a secret.
-SAMPLE_STRINGS = 20_000
+#: Labelled strings of each kind that the models are fitted on at most, and the texts that the ordinary ones come from.
+SAMPLE_STRINGS, SAMPLE_TEXTS = 20_000, 2_000
+#: The least ratio of a secret, in nats a character pair on average.
 LEAST_RATIO = 0.5
 
 
@@ -55,14 +57,19 @@ def ordinary_and_random(docs: DataFrame, samples: int = SAMPLE_STRINGS) -> DataF
     ordinary identifiers where they don't stand in such a match.
     """
     text = F.coalesce("text", F.lit(""))
-    # ordinary words come from a bounded sample of rows
-    rows = docs.where("text is not null").select("text").orderBy(F.xxhash64("text")).limit(2000)
+    # ordinary words come from SAMPLE_TEXTS different texts
+    some = docs.where("text is not null")
+    h = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    # the texts of the smallest hashes: only hashes are ordered
+    chosen = hash_sample(some.select(h.alias("h")).distinct(), SAMPLE_TEXTS, F.col("h"))
+    # at most SAMPLE_TEXTS hashes: small enough to broadcast
+    rows = some.withColumn("h", h).join(F.broadcast(chosen), "h", "left_semi").select("text").distinct()
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = rows.select(F.explode(F.regexp_extract_all(bare, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]+(?:[_-][A-Za-z]+)*(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("string")).where("length(string) >= 6")
     found = docs.where("text is not null").select(
         F.explode(F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))).alias("string")
     ).where(rf"length(string) >= 12 and string rlike '[0-9]' and string rlike '^[{ALPHABET}]+$'")
-    pick = lambda df, random: df.distinct().orderBy(F.xxhash64("string"), "string").limit(samples).select("string", F.lit(random).alias("random"))
+    pick = lambda df, random: hash_sample(materialise(df.distinct(), "strings"), samples, F.col("string")).select("string", F.lit(random).alias("random"))
     return pick(words, False).unionAll(pick(found, True))
 
 

@@ -53,6 +53,7 @@ class HnswGraph:
         self.distances = 0
         self._stamp = np.zeros(n, np.int64)
         self._round = 0
+        self._above: np.ndarray | None = None
 
     @classmethod
     def build(cls, vectors: np.ndarray, config: HnswConfig) -> HnswGraph:
@@ -187,8 +188,18 @@ class HnswGraph:
         return self._beam(query, [start], max(k, ef or self.config.ef_search), 0)[:k]
 
     def within(self, query: np.ndarray, most: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, distances) found at a distance of at most `most`: the beam's, and all that links among such nodes reach."""
-        found = [(d, e) for d, e in self.search(query, ef, ef) if d <= most]
+        """(nodes, distances) found at a distance of at most `most`: the beam's, and all that links among such nodes reach.
+
+        The beam starts from the nearest of all nodes above the bottom layer, not from a greedy descent: a group of near
+        copies links to itself mostly, and few steps lead into it from elsewhere.
+        """
+        if self.entry < 0:
+            return np.empty(0, np.int64), np.empty(0)
+        if self._above is None:
+            self._above = np.nonzero((self.levels > 0) | (np.arange(len(self.levels)) == self.entry))[0]
+        far = self._far(query, self._above)
+        starts = self._above[np.argpartition(far, ef - 1)[:ef]] if len(far) > ef else self._above
+        found = [(d, e) for d, e in self._beam(query, starts.tolist(), ef, 0) if d <= most]
         if not found:
             return np.empty(0, np.int64), np.empty(0)
         nodes, far = [np.array([e for _, e in found], np.int64)], [np.array([d for d, _ in found])]
@@ -222,6 +233,28 @@ class HnswGraph:
             self._reach(self.entry, seen)
         return seen
 
+    def _append(self, node: int, link: int) -> None:
+        """One more link of the bottom layer, above the degree cap if need be."""
+        if self.degree[node] == self.base.shape[1]:
+            self.base = np.pad(self.base, ((0, 0), (0, 8)), constant_values=-1)
+        self.base[node, self.degree[node]] = link
+        self.degree[node] += 1
+
+    def reciprocate(self, least: int = 8, links: int = 6) -> int:
+        """Nodes that fewer than `least` others link to are linked from the nearest `links` they link to; how many links.
+
+        Pruning leaves nodes that are no one's near neighbour with hardly a way in, however near a query is.
+        """
+        used = self.base[self.base >= 0]
+        into = np.bincount(used, minlength=len(self.vectors))
+        added = 0
+        for node in np.nonzero(into < least)[0].tolist():
+            for other in self.base[node, : min(links, self.degree[node])].tolist():
+                if node not in self.base[other, : self.degree[other]]:
+                    self._append(other, node)
+                    added += 1
+        return added
+
     def connect(self) -> int:
         """Link nodes that nothing reaches from a near one with room for it, or above the degree cap; how many."""
         linked, seen = 0, self.reachable()
@@ -230,10 +263,7 @@ class HnswGraph:
                 continue
             near = [e for _, e in self.search(self.vectors[node], 32) if seen[e]]
             other = min(near, key=lambda e: self.degree[e] >= self.base.shape[1])
-            if self.degree[other] == self.base.shape[1]:
-                self.base = np.pad(self.base, ((0, 0), (0, 4)), constant_values=-1)
-            self.base[other, self.degree[other]] = node
-            self.degree[other] += 1
+            self._append(other, node)
             linked += 1
             self._reach(node, seen)
         return linked

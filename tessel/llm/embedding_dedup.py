@@ -24,7 +24,7 @@ from .components import connected_components
 SHARD_ROWS, LEAST_SHARDS = 16_384, 6
 #: Searches of a tile that an audit repeats by brute force, and the share of their links that must be found.
 AUDIT_QUERIES, AUDIT_RECALL = 192, 0.99
-FIRST_BEAM = 16
+FIRST_BEAM = 8
 CONFIG = HnswConfig(m=12, ef_construction=48)
 
 
@@ -44,6 +44,7 @@ def _builder(config: HnswConfig) -> Callable:
         rows = rows.sort_values("vec_id", kind="stable")
         raw = np.stack(rows["vec"].to_numpy())
         graph = HnswGraph.build(_unit(raw), config)
+        graph.reciprocate()
         graph.connect()
         data = pickle.dumps((rows["vec_id"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), raw, graph.base, graph.degree, graph.upper, graph.levels, graph.entry, graph.top), 5)
         return pd.DataFrame({"dim": [raw.shape[1]], "shard": [int(rows["shard"].iloc[0])], "data": [data]})
@@ -137,14 +138,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shard_rows: int = SH
     n = classes.count()
     shards = max(least_shards, -(-n // shard_rows))
     dealt = classes.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("least"), F.lit(shards)).cast("int").alias("shard"), F.col("least").alias("vec_id"), "copies", "vec")
-    graphs = dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_builder(config), "dim int, shard int, data binary")
+    graphs = dealt.repartitionByRange(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(_builder(config), "dim int, shard int, data binary")
     graphs = materialise(graphs, "graphs")
 
     # every pair of shards is a tile; a shard goes to as many tiles as there are shards
     seats = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("other"))
     seats = seats.select("dim", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard", "data")
-    # as many partitions as tiles: a tile is a task's work, however few bytes it has
-    found = seats.repartition(shards * (shards + 1), "dim", "low", "high").groupBy("dim", "low", "high").applyInPandas(_searcher(least, config), "a long, b long, links long")
+    # a partition a tile: it is a task's work, however few bytes it has, and ranges deal tiles out evenly
+    found = seats.repartitionByRange(shards * (shards + 1) // 2, "dim", "low", "high").groupBy("dim", "low", "high").applyInPandas(_searcher(least, config), "a long, b long, links long")
     found = materialise(found, "links")
 
     alias = good.join(classes.select("vec", F.col("least").alias("class"), "copies"), "vec").select("vec_id", "class", "copies")

@@ -4,10 +4,12 @@
    with its smallest doc_id stands for them from here on.
 2. Sets are banded by size. Two linked sets of a band differ in at most D shingles, so where hashes deal
    shingles to more than D parts, some part that isn't empty is equal in both; equal parts put sets into
-   one tile. (A set of D filled parts or fewer also carries its band's key for sparse sets.)
+   one tile, that of the smallest class among them. (A set of D filled parts or fewer also carries its band's
+   key for sparse sets.)
 3. In a tile, hashed bitmaps bound overlaps from above: each bit in which two of them differ is a shingle
-   that only one set has. Pairs that the bound leaves are intersected exactly.
-4. Links of a tile leave it as a star for each group, and components join the stars.
+   that only one set has. Components of the pairs that the bound leaves are groups.
+4. Only members of groups bring their sets. Within a group the bounds are looked at again, and what they leave
+   is intersected exactly; links leave the task as counts and a star, and components join the stars.
 
 No pair of documents leaves a task, so a group of copies costs rows in proportion to its size. Tiles
 of large groups are cut into blocks, each pair of which is a task's work.
@@ -32,6 +34,8 @@ from .components import connected_components
 BAND_STEP = 1.5
 #: Shingles that one block of a tile holds.
 BLOCK_SHINGLES = 1_000_000
+#: Bitmaps that one block of a tile holds.
+BLOCK_MEMBERS = 4096
 
 
 @dataclass(frozen=True)
@@ -92,7 +96,23 @@ def _identity(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>"
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """A set's signature of as many bits as it has shingles or more, a power of two from 64 on."""
+    bits = 64
+    while bits < len(shingles):
+        bits *= 2
+    at = mix64(shingles * GOLDEN) & np.uint64(bits - 1)
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def folded(signature: np.ndarray, words: int) -> np.ndarray:
+    """The signature that the same set has at fewer bits."""
+    return np.bitwise_or.reduce(signature.reshape(-1, words), axis=0)
+
+
+SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, bits binary"
 
 
 def _signer(size: int, threshold: Threshold) -> Callable:
@@ -100,7 +120,7 @@ def _signer(size: int, threshold: Threshold) -> Callable:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole[start : start + 1024]
-                n, a, b, keys = [], [], [], []
+                n, a, b, keys, bits = [], [], [], [], []
                 for t in batch.column("text"):
                     s = shingle_set(word_hashes(t.as_py()), size)
                     n.append(len(s))
@@ -108,9 +128,10 @@ def _signer(size: int, threshold: Threshold) -> Callable:
                     a.append(ident[0])
                     b.append(ident[1])
                     keys.append(tile_keys(s, threshold).view(np.int64) if len(s) else np.empty(0, np.int64))
+                    bits.append(bitmap(s).tobytes())
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists], ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "keys", "bits"])
 
     return sign
 
@@ -156,22 +177,7 @@ def join_sets(sets: list[np.ndarray], threshold: Threshold, left: np.ndarray, ri
         bits *= 2
     maps = bitmaps(local, owner, len(sets), bits)
     mark = np.zeros(len(shingle), np.int64)
-    is_right = np.zeros(len(sets), bool)
-    is_right[right] = True
-    own_right = sizes[right]
-    for i in left.tolist():
-        # partners as large as i or larger, up to the largest that can link; smaller ones where i isn't met from the other side
-        low = np.searchsorted(own_right, threshold.least_partner(int(sizes[i])), side="left")
-        high = np.searchsorted(own_right, sizes[i] * 100 // threshold.percent, side="right")
-        j = right[low:high]
-        j = j[j > i] if is_right[i] else j
-        if not len(j):
-            continue
-        total = sizes[j] + sizes[i]
-        differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        j = j[(100 + threshold.percent) * (total - differ) >= 2 * threshold.percent * total]
-        if not len(j):
-            continue
+    for i, j in screened(sizes, maps, threshold, left, right):
         mark[local[starts[i] : starts[i + 1]]] = 1
         n = sizes[j]
         ends = np.cumsum(n)
@@ -183,6 +189,71 @@ def join_sets(sets: list[np.ndarray], threshold: Threshold, left: np.ndarray, ri
             yield i, j
 
 
+def screened(sizes: np.ndarray, maps: np.ndarray, threshold: Threshold, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, j that the bitmaps let link with i) for i of left; left and right ascend by size, each pair once."""
+    is_right = np.zeros(len(sizes), bool)
+    is_right[right] = True
+    own = sizes[right]
+    for i in left.tolist():
+        low = np.searchsorted(own, threshold.least_partner(int(sizes[i])), side="left")
+        high = np.searchsorted(own, sizes[i] * 100 // threshold.percent, side="right")
+        j = right[low:high]
+        j = j[j > i] if is_right[i] else j
+        if len(j):
+            total = sizes[j] + sizes[i]
+            differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            j = j[(100 + threshold.percent) * (total - differ) >= 2 * threshold.percent * total]
+            if len(j):
+                yield i, j
+
+
+def _sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Positions to be met with each other: side 0 is a block on its own, 1 and 2 are two blocks of a tile."""
+    side, every = g["side"].to_numpy(), np.arange(len(g))
+    left, right = (every[side == 1], every[side == 2]) if side.any() else (every, every)
+    return (left, right) if len(g) > 1 and len(left) and len(right) else (every[:0], every[:0])
+
+
+def _screen(threshold: Threshold) -> Callable:
+    def screen(rows: pd.DataFrame) -> pd.DataFrame:
+        """Stars of the pairs that bitmaps leave in each group of one tile: rows (group, side, class, n, bits)."""
+        out = [np.empty((0, 2), np.int64)]
+        for _, g in rows.groupby("group", sort=False):
+            g = g.sort_values(["n", "class"], kind="stable")
+            left, right = _sides(g)
+            if not len(left):
+                continue
+            maps = [np.frombuffer(b, np.uint64) for b in g["bits"]]
+            words = min(map(len, maps))
+            maps = np.stack([folded(m, words) for m in maps])
+            parent, ids = np.arange(len(g)), g["class"].to_numpy()
+            for i, js in screened(g["n"].to_numpy(), maps, threshold, left, right):
+                _join(parent, i, js)
+            out.append(_stars(parent, ids))
+        both = np.concatenate(out)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    return screen
+
+
+def _join(parent: np.ndarray, i: int, js: np.ndarray) -> None:
+    a = _find(parent, i)
+    for r in np.unique(parent[js]).tolist():
+        b = _find(parent, r)
+        if a != b:
+            a, b = min(a, b), max(a, b)
+            parent[b] = a
+
+
+def _stars(parent: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """[id, smallest id of its group] of the members of groups of two or more."""
+    root = np.array([_find(parent, k) for k in range(len(parent))])
+    least = np.full(len(parent), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, ids)
+    some = np.bincount(root, minlength=len(parent))[root] > 1
+    return np.stack([ids[some], least[root][some]], axis=1)
+
+
 def _find(parent: np.ndarray, x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -200,35 +271,24 @@ def _tile(threshold: Threshold) -> Callable:
         out = []
         for _, g in rows.groupby(["group"], sort=False):
             g = g.sort_values(["n", "class"], kind="stable").reset_index(drop=True)
-            sets = [np.frombuffer(s, np.uint64) for s in g["set"]]
-            side = g["side"].to_numpy()
-            every = np.arange(len(g))
-            left, right = (every[side == 1], every[side == 2]) if side.any() else (every, every)
-            if len(g) < 2 or not len(left) or not len(right):
+            left, right = _sides(g)
+            if not len(left):
                 continue
+            sets = [np.frombuffer(s, np.uint64) for s in g["set"]]
             copies, links = g["copies"].to_numpy(), np.zeros(len(g), np.int64)
-            parent = np.arange(len(g))
+            parent, ids = np.arange(len(g)), g["class"].to_numpy()
             for i, js in join_sets(sets, threshold, left, right):
                 links[i] += copies[js].sum()
                 links[js] += copies[i]
-                a = _find(parent, i)
-                for r in np.unique(parent[js]).tolist():
-                    b = _find(parent, r)
-                    if a != b:
-                        a, b = min(a, b), max(a, b)
-                        parent[b] = a
-            root = np.array([_find(parent, k) for k in range(len(g))])
-            linked = links > 0
-            ids = g["class"].to_numpy()
-            least = np.full(len(g), np.iinfo(np.int64).max)
-            np.minimum.at(least, root, ids)
-            out.append(pd.DataFrame({"a": ids[linked], "b": least[root][linked], "links": links[linked]}))
+                _join(parent, i, js)
+            both = _stars(parent, ids)
+            out.append(pd.DataFrame({"a": both[:, 0], "b": both[:, 1], "links": links[links > 0]}))
         return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
 
     return verify
 
 
-def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row of docs(doc_id, text).
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets; n_links counts
@@ -249,24 +309,18 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, blo
     # one shuffle of (class, key): classes of a key are sorted and stream past its smallest one
     least = F.first("class").over(Window.partitionBy("key").orderBy("class"))
     stars = keyed.withColumn("least", least).where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
-    near = materialise(connected_components(stars).withColumnRenamed("component", "group"), "groups")
-
-    members = classes.join(near, F.col("class") == F.col("node")).select("set_a", "set_b", "class", "copies", "group", F.col("n_shingles").alias("n"))
-    weight = members.groupBy("group").agg(F.sum("n").alias("weight"))
-    blocks = F.ceil(F.col("weight") / block_shingles).cast("int")
-    members = members.join(weight.withColumn("blocks", blocks), "group")
-    # one block: groups share tiles by their hash; more: each pair of blocks is a tile
-    total = weight.agg(F.sum("weight")).first()[0] or 0
-    tiles = max(1, 2 * -(-total // block_shingles))
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = members.withColumn("block", block).select("*", other.alias("other"))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    alone = F.col("blocks") == 1
-    shared_tile = F.pmod(F.xxhash64("group"), F.lit(tiles))
-    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    seat = F.struct(F.when(alone, shared_tile).otherwise(F.col("group")).alias("tile"), F.when(alone, -1).otherwise(low).alias("low"), F.when(alone, -1).otherwise(high).alias("high"), F.col("group"), side.alias("side"))
-    seats = placed.select("class", "set_a", "set_b", "copies", seat.alias("seat"))
+    # tiles: the classes that share a key with a smaller one, seated with it
+    met = stars.select(F.col("b").alias("group"), F.col("a").alias("class"))
+    met = met.unionAll(stars.select(F.col("b").alias("group"), F.col("b").alias("class")).distinct())
+    info = classes.select("set_a", "set_b", "class").join(whole.select("set_a", "set_b", F.col("doc_id").alias("class"), F.col("n_shingles").alias("n"), "bits"), ["class", "set_a", "set_b"]).select("class", "n", "bits")
+    info = info.dropDuplicates(["class"]) if _repeats(whole) else info
+    met = materialise(met, "tiles")
+    screen = _seated(met.withColumn("weight", F.lit(1)), block_members).join(info, "class").select("class", "n", "bits", "seat.*")
+    close = screen.groupBy("tile", "low", "high").applyInPandas(_screen(threshold), "a long, b long")
+    near = materialise(connected_components(close).withColumnRenamed("component", "group"), "groups")
+
+    members = classes.join(near, F.col("class") == F.col("node")).select("set_a", "set_b", "class", "copies", "group", F.col("n_shingles").alias("weight"))
+    seats = _seated(members, block_shingles)
     by_class = seats.groupBy("class", "set_a", "set_b", "copies").agg(F.collect_list("seat").alias("seats"))
     texts = docs.select("doc_id", "text").join(by_class, F.col("doc_id") == F.col("class")).select("text", "class", "set_a", "set_b", "copies", "seats")
     sets = texts.mapInArrow(_setter(shingle), f"class long, copies long, seats {dict(by_class.dtypes)['seats']}, n long, set binary")
@@ -285,11 +339,33 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, blo
     out = out.join(parts, F.col("doc_id") == F.col("node"), "left")
     n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0)))
     out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links")), "joined")
-    for used in (signed, classes, near, found):
+    for used in (signed, classes, met, near, found):
         discard(used)
     return out
 
 
+def _seated(members: DataFrame, most: int) -> DataFrame:
+    """members(group, class, weight) with the column seat: tile, low, high, group, side.
+
+    A group of at most `most` in weight is a block of its own and shares a tile with others by its hash; a heavier
+    one is cut into blocks by hashes of its classes, and each pair of blocks is a tile. The blocks of a group are
+    joined to its members, so a heavy group is split by adaptive execution like any skewed key.
+    """
+    weight = members.groupBy("group").agg(F.sum("weight").alias("total"))
+    tiles = max(1, 8 * -(-(weight.agg(F.sum("total")).first()[0] or 0) // most))
+    sized = members.join(weight.select("group", F.ceil(F.col("total") / most).cast("int").alias("blocks")), "group")
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    placed = sized.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.col("blocks") == 1
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
+    seat = F.struct(
+        F.when(alone, F.pmod(F.xxhash64("group"), F.lit(tiles))).otherwise(F.col("group")).alias("tile"),
+        F.when(alone, -1).otherwise(F.least("block", "other")).alias("low"), F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("high"),
+        F.col("group"), side.alias("side"),
+    )
+    return placed.select(*(c for c in members.columns if c not in ("group", "weight")), seat.alias("seat"))
+
+
 def _repeats(rows: DataFrame) -> bool:
     return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
 

@@ -2,22 +2,26 @@
 
 Texts are words (runs of letters and digits, lower-cased). A mask looks at some of the words of a
 window and ignores the rest, so a hash of the words it looks at still agrees where an ignored word was
-substituted. Hashes of benchmark windows are joined with those of the documents; around each hit the
+substituted. The masks of a window are chosen so that, wherever the substitutions that it may hold fall,
+some mask at some place of the window looks at none of them. Hashes of benchmark windows are joined with those of the documents; around each hit the
 document and the item are aligned and a window of words is verified with some substitutions allowed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, fresh_name, materialise
 
-#: Fixed: word positions that each mask looks at, in a window of its own span.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 4, 6, 8))
-LEAST_SPAN = min(m[-1] + 1 for m in MASKS)
+#: Masks of one window size at most; they look at as many words as so many masks allow.
+MOST_MASKS = 3
+#: Windows up to so many words have spaced masks, found by enumeration; longer ones have a run of words.
+ENUMERATED = 13
 #: Benchmark windows that are broadcast at most (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Items that are broadcast at most, by their words in all; more are joined by a shuffle.
@@ -33,7 +37,41 @@ class Overlap:
 
     window: int = 13
     percent: int = 75
-    least: int = LEAST_SPAN
+    least: int = 1
+
+    def __post_init__(self) -> None:
+        if self.window < 1 or not 1 <= self.percent <= 100:
+            raise ValueError("the window must be 1 or more, the percentage 1 to 100")
+
+    def allowed(self, size: int) -> int:
+        """Substitutions that a window of `size` words may hold."""
+        return size - -(-size * self.percent // 100)
+
+
+Mask = tuple[int, ...]
+
+
+def _covered(mask: Mask, size: int, patterns: list[int]) -> int:
+    """A bit for each pattern of substitutions that the mask avoids at some place of a window."""
+    places = [sum(1 << p + shift for p in mask) for shift in range(size - mask[-1])]
+    return sum(1 << k for k, x in enumerate(patterns) if not all(x & p for p in places))
+
+
+@lru_cache(maxsize=None)
+def masks_for(size: int, allowed: int) -> tuple[Mask, ...]:
+    """Masks (word positions from 0) of which some one, at some place of a window of `size` words, avoids any `allowed` positions."""
+    run = size // (allowed + 1)  # one of allowed + 1 equal parts holds no substitution
+    if size <= ENUMERATED:
+        patterns = [sum(1 << p for p in at) for at in combinations(range(size), allowed)]
+        for weight in range(size - allowed, run, -1):
+            able = {m: _covered(m, size, patterns) for m in ((0, *rest) for rest in combinations(range(1, size), weight - 1))}
+            left, chosen = (1 << len(patterns)) - 1, []
+            while left and len(chosen) < MOST_MASKS:
+                chosen.append(max(able, key=lambda m: ((able[m] & left).bit_count(), -m[-1])))
+                left &= ~able[chosen[-1]]
+            if not left:
+                return tuple(chosen)
+    return (tuple(range(run)),)
 
 
 def word_hashes(text: Column) -> Column:
@@ -42,28 +80,43 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: Column, at: Column) -> Column:
-    """The hash of each mask laid at the position `at` (from 0), null where it doesn't fit."""
-    return F.array(*(F.when(at + mask[-1] < F.size(hashes), F.xxhash64(F.lit(k), *(F.get(hashes, at + p) for p in mask))) for k, mask in enumerate(MASKS)))
+def _seeds(masks: dict[Mask, list[int]], hashes: Column, at: Column, window: Column | None = None) -> Column:
+    """The hash of each mask laid at the position `at` (from 0), null where it doesn't fit or isn't one of the window's size."""
+    fits = lambda mask: at + mask[-1] < F.size(hashes)
+    used = lambda mask: fits(mask) if window is None else fits(mask) & window.isin(masks[mask])
+    return F.array(*(F.when(used(mask), F.xxhash64(F.lit(k), *(F.get(hashes, at + p) for p in mask))) for k, mask in enumerate(masks)))
 
 
 def benchmark_items(benchmark: DataFrame, overlap: Overlap) -> DataFrame:
     """item_id, item: the items' word hashes. Items of the same words are looked for once, under their smallest item_id."""
-    items = benchmark.where("text is not null").select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= overlap.least)
+    items = benchmark.where("text is not null").select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= max(1, overlap.least))
     return items.groupBy("item").agg(F.min("item_id").alias("item_id"))
 
 
-def benchmark_seeds(items: DataFrame) -> DataFrame:
+def _window(overlap: Overlap) -> Column:
+    return F.least(F.lit(overlap.window), F.size("item"))
+
+
+def masks_of(sizes: list[int], overlap: Overlap) -> dict[Mask, list[int]]:
+    """The masks of windows of these sizes, each with the sizes that it serves."""
+    out: dict[Mask, list[int]] = {}
+    for size in sorted(sizes):
+        for mask in masks_for(size, overlap.allowed(size)):
+            out.setdefault(mask, []).append(size)
+    return out
+
+
+def benchmark_seeds(items: DataFrame, masks: dict[Mask, list[int]], overlap: Overlap) -> DataFrame:
     """seed, item_id, item_at, span of every masked window of every item."""
-    placed = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - LEAST_SPAN)).alias("item_at"))
-    seeds = placed.select("item_id", "item_at", F.posexplode(_seeds(F.col("item"), F.col("item_at"))).alias("mask", "seed")).where("seed is not null")
-    spans = F.element_at(F.array(*(F.lit(m[-1] + 1) for m in MASKS)), F.col("mask") + 1)
+    placed = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("item_at"))
+    seeds = placed.select("item_id", "item_at", F.posexplode(_seeds(masks, F.col("item"), F.col("item_at"), _window(overlap))).alias("mask", "seed")).where("seed is not null")
+    spans = F.element_at(F.array(*(F.lit(m[-1] + 1) for m in masks)), F.col("mask") + 1)
     return seeds.select("seed", "item_id", "item_at", spans.alias("span"))
 
 
 def _best_window(overlap: Overlap) -> Column:
     """Most agreeing words of the windows that hold a hit; columns piece, at (in the piece), item, item_at, span."""
-    size = F.least(F.lit(overlap.window), F.size("item"))
+    size = _window(overlap)
     shift = F.col("at") - F.col("item_at")
     first = F.greatest(F.lit(0), -shift, F.col("item_at") + F.col("span") - size)
     last = F.least(F.col("item_at"), F.size("item") - size, F.size("piece") - shift - size)
@@ -84,18 +137,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overl
     reach = overlap.window - 1
     keys = [f"key_{k}" for k in key]
     items = materialise(benchmark_items(benchmark, overlap), "items")
-    sizes = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0))).first()[0]
-    seeds = benchmark_seeds(items)
-    few = sizes * len(MASKS) <= BROADCAST_WINDOWS
+    sizes, windows = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.collect_set(_window(overlap))).first()
+    masks = masks_of(windows or [overlap.window], overlap)
+    seeds = benchmark_seeds(items, masks, overlap)
+    few = sizes * len(masks) <= BROADCAST_WINDOWS
     cut = docs.where("text is not null").select(*(F.col(k).alias(f"key_{k}") for k in key), word_hashes(F.col("text")).alias("hashes"))
     starts = F.when(F.size("hashes") > 0, F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
     pieces = F.transform(starts, lambda b: F.slice("hashes", F.greatest(b - reach, F.lit(0)) + 1, F.least(b, F.lit(reach)) + PIECE + reach))
     cut = cut.select(*keys, F.posexplode(pieces).alias("nth", "piece"))
     own = F.when(F.col("nth") == 0, 0).otherwise(reach)  # where the piece's own words start
-    last = F.least(own + PIECE, F.size("piece") - LEAST_SPAN + 1) - 1
+    last = F.least(own + PIECE, F.size("piece") - min(m[-1] for m in masks)) - 1
     cut = cut.where(last >= own)
     placed = cut.select(*keys, "nth", "piece", F.explode(F.sequence(own, last)).alias("at"))
-    probes = placed.select(*keys, "nth", "piece", "at", F.explode(_seeds(F.col("piece"), F.col("at"))).alias("seed"))
+    probes = placed.select(*keys, "nth", "piece", "at", F.explode(_seeds(masks, F.col("piece"), F.col("at"))).alias("seed"))
     doc_at = F.col("nth") * PIECE - own + F.col("at")
     if few:
         hits = probes.join(F.broadcast(seeds), "seed")
@@ -104,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overl
         probes = probes.where("seed is not null").select(*keys, "nth", doc_at.alias("doc_at"), around.alias("piece"), F.least("at", F.lit(reach)).alias("at"), "seed")
         hits = probes.join(seeds, "seed")
     met = hits.join(bounded_broadcast(items, sizes, BROADCAST_WORDS), "item_id")
-    size = F.least(F.lit(overlap.window), F.size("item"))
+    size = _window(overlap)
     found = met.select(*keys, "item_id", (doc_at if few else F.col("doc_at")).alias("doc_at"), size.alias("window"), _best_window(overlap).alias("matched"))
     found = found.where(F.col("matched") * 100 >= F.col("window") * overlap.percent)
     per = found.groupBy(*keys, "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"), F.min("doc_at").cast("long").alias("doc_at"))

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,41 @@ def test_shuffled_seeds_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect())) == want and len(want) == 10
 
 
+@pytest.mark.parametrize("overlap", [decontamination.Overlap(), decontamination.Overlap(percent=60), decontamination.Overlap(window=16, percent=80)])
+def test_masks_cover_every_pattern_of_substitutions(overlap):
+    for size in range(1, overlap.window + 1):
+        allowed = overlap.allowed(size)
+        masks = decontamination.masks_for(size, allowed)
+        assert 100 * (size - allowed) >= overlap.percent * size > 100 * (size - allowed - 1)
+        places = [{p + shift for p in m} for m in masks for shift in range(size - m[-1])]
+        for n in range(allowed + 1):
+            assert all(any(not p & set(at) for p in places) for at in combinations(range(size), n)), (size, n)
+
+
+def test_every_allowed_substitution_is_found(spark):
+    """All patterns of the most substitutions in items of 1 to 9 words and some in one of 13 and 20, each a document of its own."""
+    rng = random.Random(3)
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 13, 20)]
+    rows, want = [], set()
+    for item, text in items:
+        size = min(item, 13)
+        most = decontamination.Overlap().allowed(size)
+        patterns = list(combinations(range(size), most))
+        for at in patterns if item < 13 else [*rng.sample(patterns, 60), (4, 6, 9)]:
+            words = text.split()[:size]
+            for p in at:
+                words[p] = "substituted"
+            want.add((len(rows), item, size - most))
+            rows.append((len(rows), " ".join([text_of(rng, rng.randrange(30)), *words, text_of(rng, rng.randrange(30))])))
+            for p in set(range(size)) - set(at):  # one more is too many
+                words[p] = "substituted"
+                break
+            rows.append((len(rows), " ".join(words)))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert got == want
+
+
 def test_bisection():
     tokens = {"a": 1000, "b": 100, "c": 10}
     a = mixing.bisect_exponent(tokens, mixing.Target(repetition=2.0))

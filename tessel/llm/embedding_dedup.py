@@ -2,8 +2,8 @@
 
 Equal vectors form a class and one of them stands for it. Each shard's graph is built once and written to
 the shared folder. Every shard is searched with every vector: a task holds two shards and searches each with the
-other's vectors. A tile's beams are widened until an audit against brute force passes; cosines are verified in
-double precision; links leave the task as counts and as a star for each group, which components join.
+other's vectors. A tile's beams are widened until an audit against brute force passes, which goes on asking until it
+has seen enough groups or every vector; cosines are verified in double precision; links leave the task as counts and as a star for each group, which components join.
 """
 
 from __future__ import annotations
@@ -22,8 +22,11 @@ from .components import connected_components
 
 #: Vectors of a shard at most, and the least number of shards.
 SHARD_ROWS, LEAST_SHARDS = 16_384, 6
-#: Searches of a tile that an audit repeats by brute force, and the share of their links that must be found.
-AUDIT_QUERIES, AUDIT_RECALL = 192, 0.99
+#: Groups of linked vectors that an audit looks for by brute force, searches of each that it repeats at most, and the
+#: share of links that must be found, as a mean over groups.
+AUDIT_GROUPS, AUDIT_MEMBERS, AUDIT_RECALL = 192, 4, 0.99
+#: Queries that an audit asks at once.
+AUDIT_BLOCK = 256
 FIRST_BEAM = 8
 CONFIG = HnswConfig(m=12, ef_construction=48)
 
@@ -69,19 +72,56 @@ class Shard:
             out.append(near[cosines(q, self.raw[near]) >= least] if len(near) else near)
         return out
 
-    def audited(self, queries: np.ndarray, least: float) -> list[np.ndarray]:
-        """find(), with the beam doubled until the audit's recall is met or the beam is the shard."""
-        step = max(1, len(queries) // AUDIT_QUERIES)
-        asked = queries[::step]
-        truth = [np.nonzero(cosines(q, self.raw) >= least)[0] for q in asked]
+    def truth(self, queries: np.ndarray, least: float, own: bool) -> tuple[dict[int, np.ndarray], np.ndarray]:
+        """Links by brute force of queries in a fixed shuffled order, and the group of each, until AUDIT_GROUPS groups are met or
+        all queries are asked. own: the queries are this shard's vectors, and their links with themselves don't count.
+
+        A group's first AUDIT_MEMBERS queries are kept, so a hot group has no more weight than its one group.
+        """
+        unit, group = _unit(queries), np.full(len(self.ids), -1)  # the group of each vector, by its first query
+        order, members, links = np.random.default_rng(7).permutation(len(queries)), {}, {}
+        for start in range(0, len(order), AUDIT_BLOCK):
+            block = order[start : start + AUDIT_BLOCK]
+            near = unit[block] @ self.unit.T >= least - 1e-9
+            for q, row in zip(block.tolist(), near, strict=True):
+                at = np.nonzero(row)[0]
+                at = at[cosines(queries[q], self.raw[at]) >= least] if len(at) else at
+                at = at[at != q] if own else at
+                if not len(at):
+                    continue
+                met = np.append(at, q) if own else at
+                known = np.unique(group[met][group[met] >= 0])
+                label = int(known[0]) if len(known) else q
+                for other in known[1:].tolist():  # this query shows that two groups are one
+                    group[group == other] = label
+                    members[label] = members[label] + members.pop(other)
+                group[met] = label
+                held = members.setdefault(label, [])
+                if len(held) < AUDIT_MEMBERS:
+                    held.append(q)
+                    links[q] = at
+            if len(members) >= AUDIT_GROUPS:
+                break
+        of = {q: g for g, held in members.items() for q in held}
+        return links, np.array([of[q] for q in links], np.int64)
+
+    def audited(self, queries: np.ndarray, least: float, own: bool = False) -> list[np.ndarray]:
+        """find(), with the beam doubled until the audit's recall is met or the beam is the shard. Links that the audit saw are kept."""
+        links, groups = self.truth(queries, least, own)
+        if not links:  # every query was asked
+            return [np.empty(0, np.int64)] * len(queries)
+        asked, groups = queries[list(links)], np.unique(groups, return_inverse=True)[1]
         ef = FIRST_BEAM
         while ef < len(self.ids):
             found = self.find(asked, least, ef)
-            hit = sum(len(np.intersect1d(a, b)) for a, b in zip(found, truth, strict=True))
-            if hit >= AUDIT_RECALL * sum(map(len, truth)):
+            shares = np.array([np.isin(t, f).mean() for f, t in zip(found, links.values(), strict=True)])
+            if (np.bincount(groups, shares) / np.bincount(groups)).mean() >= AUDIT_RECALL:
                 break
             ef *= 2
-        return self.find(queries, least, ef)
+        out = self.find(queries, least, ef)
+        for q, t in links.items():
+            out[q] = np.union1d(out[q], t)
+        return out
 
 
 def _pairs(found: list[np.ndarray]) -> np.ndarray:
@@ -97,7 +137,7 @@ def _searcher(least: float, config: HnswConfig) -> Callable:
         rows = rows.sort_values("shard")
         shards = [Shard(d, config) for d in rows["data"]]
         a, b = shards[0], shards[-1]
-        forth = _pairs(b.audited(a.raw, least))
+        forth = _pairs(b.audited(a.raw, least, own=len(shards) == 1))
         if len(shards) == 1:
             back = forth[::-1]
         else:

@@ -142,3 +142,46 @@ def test_embedding_groups_match_brute_force(spark):
         assert by[k] == (0, k, True)
     assert by[None] == (0, None, False)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def audited_shard(monkeypatch, vectors, hard, enough):
+    """A shard whose searches miss the vectors at `hard` below a beam of `enough`, and find all links otherwise."""
+    raw = vectors.astype(np.float32)
+    graph = embedding_dedup.HnswGraph.build(embedding_dedup._unit(raw[:2]), embedding_dedup.CONFIG)
+    n = len(raw)
+    data = embedding_dedup.pickle.dumps((np.arange(n), np.ones(n, np.int64), raw, graph.base, graph.degree, graph.upper, graph.levels, graph.entry, graph.top), 5)
+
+    def find(self, queries, least, ef):
+        out = [np.nonzero(embedding_dedup.cosines(q, self.raw) >= least)[0] for q in queries]
+        return out if ef >= enough else [np.setdiff1d(f, hard) for f in out]
+
+    monkeypatch.setattr(embedding_dedup.Shard, "find", find)
+    return embedding_dedup.Shard(data, embedding_dedup.CONFIG)
+
+
+def test_audit_sees_rare_links_between_shards(monkeypatch):
+    rng = np.random.default_rng(5)
+    base, queries = rng.normal(size=(2000, 32)), rng.normal(size=(2000, 32))
+    at = np.array([13, 777, 1501])
+    queries[at] = base[at + 5] + rng.normal(0, 0.05, (3, 32))
+    shard = audited_shard(monkeypatch, base, at + 5, 64)
+    calls = []
+    inner = embedding_dedup.Shard.find
+    monkeypatch.setattr(embedding_dedup.Shard, "find", lambda self, q, least, ef: calls.append(ef) or inner(self, q, least, ef))
+    found = shard.audited(queries.astype(np.float32), 0.9)
+    assert {q: f.tolist() for q, f in enumerate(found) if len(f)} == {q: [q + 5] for q in at.tolist()}
+    assert calls[-1] >= 64  # the beam was widened on this evidence
+    assert not any(map(len, shard.audited(rng.normal(size=(300, 32)).astype(np.float32), 0.9)))
+
+
+def test_audit_weighs_small_groups_beside_a_hot_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    hot, lone = rng.normal(size=32) + rng.normal(0, 0.05, (1000, 32)), rng.normal(size=(1000, 32))
+    lone[500:515] = lone[400:415] + rng.normal(0, 0.05, (15, 32))
+    vectors = np.concatenate([hot, lone])
+    small = np.concatenate([np.arange(1400, 1415), np.arange(1500, 1515)])
+    shard = audited_shard(monkeypatch, vectors, small, 64)
+    found = shard.audited(shard.raw, 0.9, own=True)
+    assert [f.tolist() for f in found] == [np.nonzero(embedding_dedup.cosines(q, shard.raw) >= 0.9)[0].tolist() for q in shard.raw]
+    links, groups = shard.truth(shard.raw, 0.9, True)
+    assert len(set(groups.tolist())) == 16 and np.bincount(groups).max() <= embedding_dedup.AUDIT_MEMBERS

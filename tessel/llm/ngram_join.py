@@ -1,7 +1,8 @@
 """Jaccard self-join of documents on word shingles.
 
 1. A document's set is sorted 64-bit shingle hashes. Documents of equal sets form a class; the class
-   with its smallest doc_id stands for them from here on.
+   with its smallest doc_id stands for them from here on. Where a doc_id is repeated it may lead several classes, and
+   classes are numbered instead.
 2. Sets are banded by size. Two linked sets of a band differ in at most D shingles, so where hashes deal
    shingles to more than D parts, some part that isn't empty is equal in both; equal parts put sets into
    one tile, that of the smallest class among them. (A set of D filled parts or fewer also carries its band's
@@ -112,7 +113,7 @@ def folded(signature: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(signature.reshape(-1, words), axis=0)
 
 
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, bits binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, keys array<long>, bits binary"
 
 
 def _signer(size: int, threshold: Threshold) -> Callable:
@@ -131,7 +132,7 @@ def _signer(size: int, threshold: Threshold) -> Callable:
                     bits.append(bitmap(s).tobytes())
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "keys", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(bits, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "keys", "bits"])
 
     return sign
 
@@ -288,23 +289,18 @@ def _tile(threshold: Threshold) -> Callable:
     return verify
 
 
-def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, block_members: int = BLOCK_MEMBERS) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every row of docs(doc_id, text).
-
-    Two documents link when 100 * intersection >= percent * union of their shingle sets; n_links counts
-    the other rows that a row links with, component_id is the smallest doc_id that links reach. Null and empty
-    texts, and texts of white space, have empty sets: they link with nothing and are their own component.
-    Rows of one doc_id share its component; a null doc_id has a null component and takes part in no link. Other
-    columns are ignored; an empty table gives an empty one.
-    """
+def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, block_members: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
+    """signed rows, those that can link, their classes, stars of linked classes with link counts, whether doc_ids are repeated."""
     threshold = Threshold(percent)
-    signed = docs.select("doc_id", "text").mapInArrow(_signer(shingle, threshold), SIGNATURE)
+    signed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_signer(shingle, threshold), SIGNATURE)
     signed = materialise(signed, "signatures")
     whole = signed.where("doc_id is not null and n_shingles > 0")
     # the copies of a class meet by partial sums; one of them brings the keys
-    classes = whole.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
-    classes = materialise(classes, "classes")
-    first = classes.select("set_a", "set_b", "class").join(whole.select("set_a", "set_b", F.col("doc_id").alias("class"), "keys"), ["class", "set_a", "set_b"])
+    classes = whole.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"))
+    repeats = _repeats(whole)
+    classes = materialise(classes.withColumn("class", F.monotonically_increasing_id() if repeats else F.col("lead")), "classes")
+    leads = lambda *own: _once(classes.select("set_a", "set_b", "lead", "class").join(whole.select("set_a", "set_b", F.col("doc_id").alias("lead"), *own), ["lead", "set_a", "set_b"]), ["class"], repeats)
+    first = leads("keys")
     keyed = first.select("class", F.explode("keys").alias("key"))
     # one shuffle of (class, key): classes of a key are sorted and stream past its smallest one
     least = F.first("class").over(Window.partitionBy("key").orderBy("class"))
@@ -312,34 +308,57 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, blo
     # tiles: the classes that share a key with a smaller one, seated with it
     met = stars.select(F.col("b").alias("group"), F.col("a").alias("class"))
     met = met.unionAll(stars.select(F.col("b").alias("group"), F.col("b").alias("class")).distinct())
-    info = classes.select("set_a", "set_b", "class").join(whole.select("set_a", "set_b", F.col("doc_id").alias("class"), F.col("n_shingles").alias("n"), "bits"), ["class", "set_a", "set_b"]).select("class", "n", "bits")
-    info = info.dropDuplicates(["class"]) if _repeats(whole) else info
+    info = leads(F.col("n_shingles").alias("n"), "bits").select("class", "n", "bits")
     met = materialise(met, "tiles")
     screen = _seated(met.withColumn("weight", F.lit(1)), block_members).join(info, "class").select("class", "n", "bits", "seat.*")
     close = screen.groupBy("tile", "low", "high").applyInPandas(_screen(threshold), "a long, b long")
     near = materialise(connected_components(close).withColumnRenamed("component", "group"), "groups")
 
-    members = classes.join(near, F.col("class") == F.col("node")).select("set_a", "set_b", "class", "copies", "group", F.col("n_shingles").alias("weight"))
+    members = classes.join(near, F.col("class") == F.col("node")).select("set_a", "set_b", "lead", "class", "copies", "group", F.col("n_shingles").alias("weight"))
     seats = _seated(members, block_shingles)
-    by_class = seats.groupBy("class", "set_a", "set_b", "copies").agg(F.collect_list("seat").alias("seats"))
-    texts = docs.select("doc_id", "text").join(by_class, F.col("doc_id") == F.col("class")).select("text", "class", "set_a", "set_b", "copies", "seats")
+    by_class = seats.groupBy("class", "lead", "set_a", "set_b", "copies").agg(F.collect_list("seat").alias("seats"))
+    texts = docs.select("doc_id", "text").join(by_class, F.col("doc_id") == F.col("lead")).select("text", "class", "set_a", "set_b", "copies", "seats")
     sets = texts.mapInArrow(_setter(shingle), f"class long, copies long, seats {dict(by_class.dtypes)['seats']}, n long, set binary")
     # rows of a repeated doc_id bring the same set again
     seated = sets.select("class", "copies", "n", "set", F.explode("seats").alias("seat")).select("class", "copies", "n", "set", "seat.*")
-    seated = seated.dropDuplicates(["class", "tile", "low", "high"]) if _repeats(whole) else seated
+    seated = _once(seated, ["class", "tile", "low", "high"], repeats)
     found = seated.groupBy("tile", "low", "high").applyInPandas(_tile(threshold), "a long, b long, links long")
     found = materialise(found, "links")
+    for used in (met, near):
+        discard(used)
+    return signed, whole, classes, found, repeats
+
+
+def _once(rows: DataFrame, key: list[str], repeats: bool) -> DataFrame:
+    """One row a key; without repeated ids there is no more."""
+    return rows.dropDuplicates(key) if repeats else rows
+
+
+def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of docs(doc_id, text).
 
-    aliases = whole.join(classes.select("set_a", "set_b", "class", "copies"), ["set_a", "set_b"])
-    copies = aliases.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
-    parts = connected_components(found.select("a", "b").unionAll(copies))
+    Two documents link when 100 * intersection >= percent * union of their shingle sets; n_links counts
+    the other rows that a row links with, component_id is the smallest doc_id that links reach. Null and empty
+    texts, and texts of white space, have empty sets: they link with nothing and are their own component.
+    Rows of one doc_id share its component; a null doc_id has a null component and takes part in no link. Other
+    columns are ignored; an empty table gives an empty one.
+    """
+    signed, whole, classes, found, repeats = _linked(docs, shingle, percent, block_shingles, block_members)
+    aliases = whole.join(classes.select("set_a", "set_b", "lead", "copies"), ["set_a", "set_b"])
+    copies = aliases.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    stars = found.select("a", "b")
+    if repeats:  # from classes to doc_ids
+        for end in ("a", "b"):
+            stars = stars.join(classes.select(F.col("class").alias(end), F.col("lead").alias(f"{end}_lead")), end)
+        stars = stars.select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    parts = connected_components(stars.unionAll(copies))
     linked = found.groupBy("a").agg(F.sum("links").alias("links"))
     per_class = classes.join(linked, F.col("class") == F.col("a"), "left").select("set_a", "set_b", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(per_class, ["set_a", "set_b"], "left")
     out = out.join(parts, F.col("doc_id") == F.col("node"), "left")
     n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0)))
     out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links")), "joined")
-    for used in (signed, classes, met, near, found):
+    for used in (signed, classes, found):
         discard(used)
     return out
 
@@ -382,3 +401,24 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     if not _repeats(docs.where("doc_id is not null")):
         return rest
     return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+
+
+def drop_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of linked sets, the one of the smallest doc_id, all columns kept.
+
+    Groups are of sets, not of doc_ids: where a doc_id is repeated with different texts, a row goes only if its own set reaches
+    a kept one by links. Rows of empty sets are copies of each other where they have one doc_id; rows of a null doc_id stay.
+    """
+    if not _repeats(docs.where("doc_id is not null")):
+        return keep_one_of_each(docs, shingle, percent)
+    signed, _, classes, found, _ = _linked(docs, shingle, percent, BLOCK_SHINGLES, BLOCK_MEMBERS)
+    parts = connected_components(found.select("a", "b"))
+    rows = signed.where("doc_id is not null").join(classes.select("set_a", "set_b", "class"), ["set_a", "set_b"], "left").join(parts, F.col("class") == F.col("node"), "left")
+    group = F.coalesce("component", "class")
+    first = rows.groupBy(group.alias("group"), F.when(group.isNull(), F.col("doc_id")).alias("alone")).agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    id_, hash_ = fresh_name(docs, "kept_id"), fresh_name(docs, "kept_hash")
+    first = materialise(first.select(F.col("kept.doc_id").alias(id_), F.col("kept.text_hash").alias(hash_)), "kept")
+    for used in (signed, classes, found):
+        discard(used)
+    kept = docs.join(first, (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))

@@ -120,6 +120,25 @@ def test_repeated_ids_and_empty_tables(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_near_copies_of_every_text_of_a_repeated_id(spark):
+    """Each of several texts under one id has near copies of its own, and two near copies share an id."""
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(4000)}" for _ in range(120)]
+    near = lambda words: " ".join([*words[:-1], "end"])
+    texts = [text() for _ in range(6)]
+    rows = [(1, " ".join(t)) for t in texts] + [(10 + k, near(t)) for k, t in enumerate(texts)]
+    own = text()
+    rows += [(50, " ".join(own)), (50, near(own)), (60, " ".join(text())), (60, " ".join(text())), (61, ""), (61, None), (None, near(own))]
+    rows += [(70, near(texts[0])), (70, " ".join(text()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = answer(ngram_join.ngram_jaccard_join(df, 3, 90))
+    want = brute_join(rows, 3, 90)
+    assert got == want and sum(n for *_, n in want) == 18
+    kept = sorted((r["doc_id"] or -1, r["text"] or "") for r in ngram_join.drop_copies(df.withColumn("kept_id", F.lit(7)), 3, 90).collect())
+    assert [k for k, _ in kept] == [-1, *[1] * 6, 50, 60, 60, 61, 70]
+    assert {t for k, t in kept if k == 1} == {" ".join(t) for t in texts} and (70, rows[-1][1]) in kept
+
+
 def test_embedding_groups_match_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 24))

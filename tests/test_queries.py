@@ -40,3 +40,8 @@ def test_query_matches_sql(spark, db, name):
 def test_recall_queries(spark, name, least):
     got = registered.queries()[name](spark, DATA).toPandas()
     assert len(got) == 25 and got["recall"].mean() >= least
+
+
+def test_graph_recall_is_nine_tenths(spark):
+    got = registered.queries()["hnsw_recall"](spark, DATA).toPandas()
+    assert len(got) == 25 and got["recall"].mean() >= 0.9

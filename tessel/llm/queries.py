@@ -44,8 +44,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    models = secrets.train_markov(secrets.ordinary_and_random(docs))
-    found = secrets.scan_secrets(docs, models)
+    found = secrets.scan_secrets(docs, secrets.corpus_models(docs))
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select(

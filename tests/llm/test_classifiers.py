@@ -183,3 +183,57 @@ def test_labelled_strings_come_from_the_corpus(spark):
     df = spark.createDataFrame([("token=1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae and ordinary identifiers like some_long_name",), (None,)], "text string")
     got = {(r["string"], r["random"]) for r in secrets.ordinary_and_random(df).collect()}
     assert ("some_long_name", False) in got and ("1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae", True) in got
+
+
+def plain_ratio(string, models):
+    at = [secrets.ALPHABET.index(c) for c in string]
+    return sum(models.ratio[a * models.width + b] for a, b in zip(at, at[1:])) / (len(string) - 1)
+
+
+def all_spans(text, models):
+    """Base spans and, by a plain walk, the runs that the models call random and that meet none of them."""
+    import re
+
+    base = base_spans(text)
+    runs = re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text)
+    added = [(m.start(), "markov", m.end()) for m in runs if plain_ratio(m[0], models) >= secrets.LEAST_RATIO]
+    added = [(a, k, b) for a, k, b in added if not any(x < b and a < y for x, _, y in base)]
+    return sorted(base + added, key=lambda s: (s[0], secrets.KINDS.index(s[1])))
+
+
+@pytest.fixture(scope="module")
+def markov(spark):
+    rng = random.Random(12)
+    strange = ["".join(rng.choice(secrets.ALPHABET[:64]) for _ in range(40)) for _ in range(300)]
+    ordinary = ["_".join(rng.choice(WORDS) for _ in range(5)) for _ in range(300)]
+    return secrets.train_markov(spark.createDataFrame([(t, True) for t in strange] + [(t, False) for t in ordinary], "string string, random boolean"))
+
+
+def test_markov_spans_match_a_plain_walk(spark, markov):
+    rng = random.Random(13)
+    run = lambda: "".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randrange(15, 60)))
+    parts = [lambda: "token: ", lambda: "password=", lambda: "_".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 6))), run, lambda: "%030x" % rng.getrandbits(120), lambda: "é ", lambda: ".", lambda: "AKIA" + "ABCD1234" * 2]
+    texts = [rng.choice(["", " "]).join(rng.choice(parts)() for _ in range(rng.randrange(1, 25))) for _ in range(250)]
+    texts.append(" ".join(rng.choice(parts)() for _ in range(900)))  # many blocks of the running sums
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in secrets.scan_secrets(df, markov).select("doc_id", secrets.span_list(F.col("spans")).alias("s")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == ",".join(f"{kind}:{a}:{b}" for a, kind, b in all_spans(t, markov)), t
+
+
+def test_long_runs_and_many_matches_take_linear_time(spark, markov):
+    import time
+
+    rng = random.Random(14)
+    scan = lambda text: secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), markov).select(F.size("spans")).first()[0]
+    scan("warm up")
+    begun = time.time()
+    assert scan("plain") == 0
+    fixed = time.time() - begun
+    blob = "".join(rng.choices(secrets.ALPHABET[:64], k=1_000_000))
+    hexes = " ".join("%032x" % rng.getrandbits(128) for _ in range(20_000))
+    mixed = " ".join(f"{''.join(rng.choices(secrets.ALPHABET[:62], k=30))} token={k:08d}" for k in range(10_000))
+    for text, want in ((blob, 1), (hexes, 20_000), (mixed, 20_000)):
+        begun = time.time()
+        assert scan(text) == want
+        assert time.time() - begun < fixed + 15

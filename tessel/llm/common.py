@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Multipliers of the 64-bit finaliser (fixed values of splitmix64).
@@ -64,6 +64,40 @@ def bounded_broadcast(df: DataFrame, rows: int, most_rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= most_rows else df
 
 
+#: Rows of a bit filter at most, 64 bits each.
+FILTER_ROWS = 1 << 20
+
+
+def _filter_place(key: Column, rows: int) -> tuple[Column, Column]:
+    """The row of a key in a filter of so many rows, and the three bits that it sets there."""
+    h = F.xxhash64(key)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    return F.shiftright(h, 20).bitwiseAND(F.lit(rows - 1)), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+
+
+def bit_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A blocked bloom filter of a column's values as rows (filter_row, filter_bits), of about 16 bits a value.
+
+    It has FILTER_ROWS rows at most, so it can be broadcast whatever the number of keys; with more keys
+    than they serve well, more of what maybe_in() lets pass is not among the keys.
+    """
+    wanted, rows = keys.count() // 4, 1
+    while rows < min(wanted, FILTER_ROWS):
+        rows *= 2
+    row, bits = _filter_place(F.col(key), rows)
+    out = keys.select(row.alias("filter_row"), bits.alias("bits")).groupBy("filter_row").agg(F.bit_or("bits").alias("filter_bits"))
+    out._tessel_rows = rows
+    return out
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key may be in the filter; all whose key is in it, and few others."""
+    row, bits = _filter_place(F.col(key), wanted._tessel_rows)
+    at, mask = fresh_name(df, "filter_at"), fresh_name(df, "filter_mask")
+    out = df.withColumn(at, row).withColumn(mask, bits).join(F.broadcast(wanted), F.col(at) == F.col("filter_row"))
+    return out.where(F.col("filter_bits").bitwiseAND(F.col(mask)) == F.col(mask)).select(*df.columns)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     have = {c.lower() for c in df.columns}

@@ -56,4 +56,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
     star = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return star.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = star.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._tessel_path = now._tessel_path  # for discard()
+    return out

@@ -3,17 +3,18 @@
 1. A document's set is sorted 64-bit shingle hashes. Documents of equal sets form a class; the class
    with its smallest doc_id stands for them from here on. Where a doc_id is repeated it may lead several classes, and
    classes are numbered instead.
-2. Sets are banded by size. Two linked sets of a band differ in at most D shingles, so where hashes deal
-   shingles to more than D parts, some part that isn't empty is equal in both; equal parts put sets into
-   one tile, that of the smallest class among them. (A set of D filled parts or fewer also carries its band's
-   key for sparse sets.)
+2. Sets are banded by size, and in a band hashes deal shingles to parts. Two linked sets differ in at most so many
+   shingles, hence in so many parts; so of the filled parts in their order, one more than that many of each set's first
+   ones must hold an equal part. Equal parts put sets into one tile, that of the smallest class among them. (A
+   set that fills too few parts is dealt out again by other hashes.)
 3. In a tile, hashed bitmaps bound overlaps from above: each bit in which two of them differ is a shingle
    that only one set has. Components of the pairs that the bound leaves are groups.
 4. Only members of groups bring their sets. Within a group the bounds are looked at again, and what they leave
    is intersected exactly; links leave the task as counts and a star, and components join the stars.
 
 No pair of documents leaves a task, so a group of copies costs rows in proportion to its size. Tiles
-of large groups are cut into blocks, each pair of which is a task's work.
+of large groups are cut into blocks, each pair of which is a task's work. Keys are dealt out by ranges of
+(key, class), so that the classes of a frequent key are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, discard, fresh_name, materialise, mix64, scaled, shingle_set, word_hashes
+from .common import GOLDEN, bit_filter, blocks_of, discard, fresh_name, materialise, maybe_in, mix64, scaled, shingle_set, word_hashes
 from .components import connected_components
 
 #: Bands grow by this factor.
@@ -37,6 +38,12 @@ BAND_STEP = 1.5
 BLOCK_SHINGLES = 1_000_000
 #: Bitmaps that one block of a tile holds.
 BLOCK_MEMBERS = 4096
+#: How often a set that fills too few parts is dealt out again; one that still does so meets its like by one key a band.
+DEALS = 8
+#: Keys that one task sorts, about.
+TASK_KEYS = 2_000_000
+#: Bytes of text that a task turns into sets at once, or one longer text.
+TEXT_BLOCK = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -49,9 +56,13 @@ class Threshold:
         """The size of the smallest set that can link with a set of this size."""
         return -(-size * self.percent // 100)
 
-    def most_different(self, size: int) -> int:
-        """Shingles that linked sets of at most this size have in one of them alone."""
-        return (100 - self.percent) * 2 * size // (100 + self.percent)
+    def most_different(self, size: int, other: int) -> int:
+        """Shingles that linked sets of at most these sizes have in one of them alone."""
+        return (100 - self.percent) * (size + other) // (100 + self.percent)
+
+    def largest_partner(self, size: int) -> int:
+        """The size of the largest set that can link with a set of this size."""
+        return size * 100 // self.percent
 
     def links(self, common: np.ndarray, total: np.ndarray) -> np.ndarray:
         """common: size of the intersection, total: sum of the two sizes."""
@@ -70,23 +81,40 @@ BANDS = bands(1 << 40)
 MIX_PART = np.uint64(0x2545F4914F6CDD1D)
 
 
+def parts_of(threshold: Threshold, band: int) -> int:
+    """Parts of a band: some more than its largest sets may differ in. A set of the band, or a smaller partner, so fills
+    more parts than it may differ in, but for rare sets."""
+    last = int(BANDS[band + 1]) - 1
+    differ = threshold.most_different(last, last)
+    return differ + differ // 4 + 3
+
+
 def tile_keys(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
     """Keys of the tiles that a set belongs to: its own band's and, where a larger partner can be in
-    the next band, that one's. Two linked sets share a key."""
+    the next band, that one's. Two linked sets share a key.
+
+    Of a set that differs from a partner in at most d parts, at least (filled - d) parts are the partner's too, so the
+    first d + 1 filled parts of either hold a common one wherever one of them fills more than d. Only where
+    neither does, both go on to the next deal.
+    """
     n, out = len(shingles), []
     band = int(np.searchsorted(BANDS, n, side="right")) - 1
     while True:
-        differ = threshold.most_different(int(BANDS[band + 1]) - 1)
-        parts = 1 if differ == 0 else differ + differ // 8 + 3
-        h = mix64(shingles + scaled(band))
-        part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(parts, np.uint64)
-        np.add.at(sums, part, mix64(h ^ MIX_PART))
-        filled = np.nonzero(np.bincount(part, minlength=parts))[0]
-        tag = mix64(filled.astype(np.uint64) + scaled(band) + np.uint64(1))
-        out.append(mix64(sums[filled] ^ tag))
-        if len(filled) <= differ:
-            out.append(mix64(np.array([0xFFFF_FFFF], np.uint64) + scaled(band)))
+        partner = min(threshold.largest_partner(n), int(BANDS[band + 1]) - 1)
+        differ = threshold.most_different(n, partner)
+        parts = parts_of(threshold, band) if differ else 1
+        for deal in range(DEALS):
+            h = mix64(shingles + scaled(band * DEALS + deal))
+            part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            sums = np.zeros(parts, np.uint64)
+            np.add.at(sums, part, mix64(h ^ MIX_PART))
+            filled = np.nonzero(np.bincount(part, minlength=parts))[0]
+            first = filled[: differ + 1]
+            out.append(mix64(sums[first] ^ mix64(first.astype(np.uint64) + scaled(band * DEALS + deal) + np.uint64(1))))
+            if len(filled) > differ:
+                break
+        else:
+            out.append(mix64(np.array([0xFFFF_FFFF], np.uint64) + scaled(band * DEALS)))
         band += 1
         if n < threshold.least_partner(int(BANDS[band])):
             return np.concatenate(out)
@@ -113,14 +141,15 @@ def folded(signature: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(signature.reshape(-1, words), axis=0)
 
 
-SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, keys array<long>, bits binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, n_keys long, keys binary, bits binary"
 
 
 def _signer(size: int, threshold: Threshold) -> Callable:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "n_keys", "keys", "bits"]
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole[start : start + 1024]
+            for start, end in blocks_of(whole.column("text"), TEXT_BLOCK):
+                batch = whole[start:end]
                 n, a, b, keys, bits = [], [], [], [], []
                 for t in batch.column("text"):
                     s = shingle_set(word_hashes(t.as_py()), size)
@@ -128,25 +157,85 @@ def _signer(size: int, threshold: Threshold) -> Callable:
                     ident = _identity(s) if len(s) else (None, None)
                     a.append(ident[0])
                     b.append(ident[1])
-                    keys.append(tile_keys(s, threshold).view(np.int64) if len(s) else np.empty(0, np.int64))
+                    keys.append(tile_keys(s, threshold).tobytes() if len(s) else b"")
                     bits.append(bitmap(s).tobytes())
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(bits, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "keys", "bits"])
+                longs = [pa.array(x, pa.int64()) for x in (n, a, b, [len(k) // 8 for k in keys])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *longs, pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], names)
 
     return sign
 
 
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, key) of rows (class, keys)."""
+    for batch in batches:
+        held = [np.frombuffer(k.as_buffer(), np.int64) for k in batch.column("keys")]
+        of = np.repeat(batch.column("class").to_numpy(), [len(k) for k in held])
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate([np.empty(0, np.int64), *held]))], ["class", "key"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, class, edge) of rows (class, key) in the order of key and class: the classes of each key that has several,
+    under the smallest of them that this task has.
+
+    A key may go on in the tasks beside: the rows of a task's first key bring it as edge, and so does
+    one row of its last key, also where there is but one class.
+    """
+
+    def rows(group: np.ndarray, classes: np.ndarray, edge: np.ndarray | None = None) -> pa.RecordBatch:
+        edges = pa.nulls(len(group), pa.int64()) if edge is None else pa.array(edge, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(classes, pa.int64()), edges], ["group", "class", "edge"])
+
+    first = key = least = None
+    alone = False  # the last row is the first of its key and hasn't left
+    for batch in batches:
+        classes, keys = batch.column("class").to_numpy(), batch.column("key").to_numpy()
+        if not len(keys):
+            continue
+        first = keys[0] if first is None else first
+        goes_on = key is not None and keys[0] == key
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        counts = np.diff(np.append(starts, len(keys)))
+        leasts = classes[starts].copy()
+        shared = (counts > 1) | (keys[starts] == first)
+        if goes_on:
+            leasts[0], shared[0] = least, True
+            if alone and key != first:
+                yield rows(np.array([least]), np.array([least]))
+        own, kept = np.repeat(leasts, counts), np.repeat(shared, counts)
+        edge = keys[kept] == first
+        for some, mark in ((edge, True), (~edge, False)):
+            if some.any():
+                yield rows(own[kept][some], classes[kept][some], np.full(int(some.sum()), first) if mark else None)
+        key, least, alone = keys[-1], leasts[-1], not shared[-1]
+    if key is not None:
+        yield rows(np.array([least]), np.array([least]), np.array([key]))
+
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """group, class: the classes that share a key, under the smallest of them; from rows (class, n_keys, keys)."""
+    n = classes.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_KEYS))
+    keyed = classes.select("class", "keys").mapInArrow(_key_rows, "class long, key long")
+    dealt = keyed.repartitionByRange(tasks, "key", "class").sortWithinPartitions("key", "class")
+    found = materialise(dealt.mapInArrow(_groups, "group long, class long, edge long").distinct(), "meetings")
+    # a task brings one row of its last key, and rows of its first one under one group: at most two groups a task
+    roots = found.where("edge is not null").groupBy("edge").agg(F.min("group").alias("root"))
+    out = found.join(F.broadcast(roots), "edge", "left").select(F.coalesce("root", "group").alias("group"), "class").distinct()
+    out = materialise(out, "tiles")
+    discard(found)
+    return out
+
+
 def _setter(size: int) -> Callable:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole[start : start + 1024]
+            for start, end in blocks_of(whole.column("text"), TEXT_BLOCK):
+                batch = whole[start:end]
                 found = [shingle_set(word_hashes(t.as_py()), size) for t in batch.column("text")]
                 idents = [_identity(s) for s in found]
                 same = [i == (x, y) for i, x, y in zip(idents, batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
-                data = pa.array([s.tobytes() for s in found], pa.large_binary()).cast(pa.binary())
-                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "copies", "seats")), pa.array([len(s) for s in found], pa.int64()), data], ["class", "copies", "seats", "n", "set"])
+                sizes, data = pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "copies", "seats")), sizes, data], ["class", "copies", "seats", "n", "set"])
                 yield out.filter(pa.array(same, pa.bool_()))  # another text of a repeated doc_id isn't the class's set
 
     return sets
@@ -295,36 +384,33 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, bl
     signed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_signer(shingle, threshold), SIGNATURE)
     signed = materialise(signed, "signatures")
     whole = signed.where("doc_id is not null and n_shingles > 0")
-    # the copies of a class meet by partial sums; one of them brings the keys
-    classes = whole.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"))
     repeats = _repeats(whole)
+    # the copies of a class meet by partial results; equal sets have equal keys and bits
+    one = lambda c: F.first(c).alias(c)
+    classes = whole.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"), one("n_keys"), one("keys"), one("bits"))
     classes = materialise(classes.withColumn("class", F.monotonically_increasing_id() if repeats else F.col("lead")), "classes")
-    leads = lambda *own: _once(classes.select("set_a", "set_b", "lead", "class").join(whole.select("set_a", "set_b", F.col("doc_id").alias("lead"), *own), ["lead", "set_a", "set_b"]), ["class"], repeats)
-    first = leads("keys")
-    keyed = first.select("class", F.explode("keys").alias("key"))
-    # one shuffle of (class, key): classes of a key are sorted and stream past its smallest one
-    least = F.first("class").over(Window.partitionBy("key").orderBy("class"))
-    stars = keyed.withColumn("least", least).where("class <> least").select(F.col("class").alias("a"), F.col("least").alias("b")).distinct()
     # tiles: the classes that share a key with a smaller one, seated with it
-    met = stars.select(F.col("b").alias("group"), F.col("a").alias("class"))
-    met = met.unionAll(stars.select(F.col("b").alias("group"), F.col("b").alias("class")).distinct())
-    info = leads(F.col("n_shingles").alias("n"), "bits").select("class", "n", "bits")
-    met = materialise(met, "tiles")
+    met = meetings(classes)
+    info = classes.select("class", F.col("n_shingles").alias("n"), "bits")
     screen = _seated(met.withColumn("weight", F.lit(1)), block_members).join(info, "class").select("class", "n", "bits", "seat.*")
-    close = screen.groupBy("tile", "low", "high").applyInPandas(_screen(threshold), "a long, b long")
-    near = materialise(connected_components(close).withColumnRenamed("component", "group"), "groups")
+    close = connected_components(screen.groupBy("tile", "low", "high").applyInPandas(_screen(threshold), "a long, b long"))
+    near = materialise(close.withColumnRenamed("component", "group"), "groups")
+    discard(close)
 
     members = classes.join(near, F.col("class") == F.col("node")).select("set_a", "set_b", "lead", "class", "copies", "group", F.col("n_shingles").alias("weight"))
     seats = _seated(members, block_shingles)
     by_class = seats.groupBy("class", "lead", "set_a", "set_b", "copies").agg(F.collect_list("seat").alias("seats"))
-    texts = docs.select("doc_id", "text").join(by_class, F.col("doc_id") == F.col("lead")).select("text", "class", "set_a", "set_b", "copies", "seats")
+    by_class = materialise(by_class, "members")
+    # texts that no group needs stay where they are
+    texts = maybe_in(docs.select("doc_id", "text"), "doc_id", bit_filter(by_class.select("lead"), "lead"))
+    texts = texts.join(by_class, F.col("doc_id") == F.col("lead")).select("text", "class", "set_a", "set_b", "copies", "seats")
     sets = texts.mapInArrow(_setter(shingle), f"class long, copies long, seats {dict(by_class.dtypes)['seats']}, n long, set binary")
     # rows of a repeated doc_id bring the same set again
     seated = sets.select("class", "copies", "n", "set", F.explode("seats").alias("seat")).select("class", "copies", "n", "set", "seat.*")
     seated = _once(seated, ["class", "tile", "low", "high"], repeats)
     found = seated.groupBy("tile", "low", "high").applyInPandas(_tile(threshold), "a long, b long, links long")
     found = materialise(found, "links")
-    for used in (met, near):
+    for used in (met, near, by_class):
         discard(used)
     return signed, whole, classes, found, repeats
 
@@ -358,7 +444,7 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, percent: int = 80, blo
     out = out.join(parts, F.col("doc_id") == F.col("node"), "left")
     n_links = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0)))
     out = materialise(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), n_links.alias("n_links")), "joined")
-    for used in (signed, classes, found):
+    for used in (signed, classes, found, parts):
         discard(used)
     return out
 
@@ -418,7 +504,7 @@ def drop_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     first = rows.groupBy(group.alias("group"), F.when(group.isNull(), F.col("doc_id")).alias("alone")).agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
     id_, hash_ = fresh_name(docs, "kept_id"), fresh_name(docs, "kept_hash")
     first = materialise(first.select(F.col("kept.doc_id").alias(id_), F.col("kept.text_hash").alias(hash_)), "kept")
-    for used in (signed, classes, found):
+    for used in (signed, classes, found, parts):
         discard(used)
     kept = docs.join(first, (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))

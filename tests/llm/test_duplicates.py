@@ -102,13 +102,57 @@ def test_linked_sets_share_a_tile():
         for n in [1, 2, 3, 5, 9, 10, 11, 12, 20, 47, 100, 333, 1000]:
             for _ in range(6):
                 a = rng.integers(0, 1 << 63, n).astype(np.uint64)
-                worst = int(rng.integers(0, t.most_different(n) + 2))
+                worst = int(rng.integers(0, t.most_different(n, n) + 2))
                 b = np.concatenate([a[: n - worst // 2], rng.integers(0, 1 << 63, worst - worst // 2).astype(np.uint64)])
                 common_, total = len(np.intersect1d(a, b)), len(a) + len(b)
                 if t.links(np.array(common_), np.array(total)):
                     assert np.intersect1d(ngram_join.tile_keys(np.unique(a), t), ngram_join.tile_keys(np.unique(b), t)).size
 
 
+def test_shared_keys_are_few_and_their_groups_whole(spark, monkeypatch):
+    """Sets without links share hardly a key, whatever their sizes, and a key of many classes gives one group over all tasks."""
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        t, met = ngram_join.Threshold(percent), {}
+        for k in range(1500):
+            n = int(rng.integers(3, 400))
+            for key in set(ngram_join.tile_keys(np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)), t).tolist()):
+                met.setdefault(key, []).append(k)
+        assert max(map(len, met.values())) <= 3
+    monkeypatch.setattr(ngram_join, "TASK_KEYS", 40)
+    keys = {k: [7, 1000 + k] if k % 2 else [8, 2000 + k // 4] for k in range(600)}
+    rows = [(k, 2, bytearray(np.array(v, np.int64).tobytes())) for k, v in keys.items()]
+    got = ngram_join.meetings(spark.createDataFrame(rows, "class long, n_keys long, keys binary")).collect()
+    want = {(1, k) for k in range(1, 600, 2)} | {(0, k) for k in range(0, 600, 2)} | {(k - k % 4, k) for k in range(0, 600, 2)}
+    assert {(r["group"], r["class"]) for r in got if r["group"] != r["class"]} == {(g, k) for g, k in want if g != k}
+    assert len(got) == len({(r["group"], r["class"]) for r in got})
+
+
+def test_sets_that_fill_few_parts_meet(monkeypatch):
+    """All sets are thin where the parts are one, so every deal is used up."""
+    monkeypatch.setattr(ngram_join, "parts_of", lambda threshold, band: 1)
+    t, rng = ngram_join.Threshold(80), np.random.default_rng(6)
+    a = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    b = np.concatenate([a[:38], rng.integers(0, 1 << 63, 2).astype(np.uint64)])
+    assert np.intersect1d(ngram_join.tile_keys(np.unique(a), t), ngram_join.tile_keys(np.unique(b), t)).size
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TEXT_BLOCK", 1 << 16)
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:140_000], *(f"x{k}" for k in range(8000))])), (3, " ".join(long[:100_000])), (4, "short text of words"), (5, "w " * 100_000)]
+    assert answer(ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_join(rows, 5, 80)
+
+
+def test_bit_filter(spark):
+    keys, rows = spark.range(0, 5000, 5).withColumnRenamed("id", "k"), spark.range(5000).withColumn("filter_at", F.lit(0))
+    kept = common.maybe_in(rows, "id", common.bit_filter(keys, "k"))
+    got = {r["id"] for r in kept.collect()}
+    assert kept.columns == rows.columns and got >= set(range(0, 5000, 5)) and len(got) < 1400
+    assert common.maybe_in(rows, "id", common.bit_filter(keys.limit(0), "k")).count() == 0
+
+
 def test_repeated_ids_and_empty_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "x y z"), (2, "x y z"), (3, "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

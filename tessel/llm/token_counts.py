@@ -1,5 +1,10 @@
 """Token counts without ids: pieces of each distinct pre-token are counted once and joined
-to the documents' pre-token frequencies."""
+to the documents' pre-token frequencies.
+
+Frequencies are held by blocks of documents: a block lists its distinct pre-tokens once, and each document's
+frequencies point into that list. So the join moves a row for each distinct pre-token of a block and not
+for each of a document, and a block's documents are summed where its counts arrive.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import blocks_of, discard, materialise
 
-from .common import blocks_of
+#: Bytes of text of a block, about; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
 
-#: Distinct pre-tokens held with their counts by one Python worker; beyond it the table starts afresh.
-TABLE_ENTRIES = 400_000
+BLOCK_SCHEMA = "doc_ids array<long>, n_bytes array<long>, tokens array<string>, ends binary, places binary, times binary"
 
 _tables: dict[str, PieceTable] = {}
 
@@ -44,41 +52,55 @@ def pre_tokens(text: str) -> list[str]:
     return out
 
 
+def frequencies(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pre-tokens, ends, places, times): text k has pre-token places[j] times[j] times, j from ends[k - 1] to ends[k]."""
+    texts = pc.replace_substring(pc.fill_null(texts, ""), "▁", " ")
+    # where runs of spaces aren't words with one space before them, texts are cut one by one
+    odd = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, "^ |  | $")).to_numpy(zero_copy_only=False)
+    cut = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
+    coded = cut.flatten().dictionary_encode()
+    tokens = coded.dictionary.to_pylist()
+    place = {t: k for k, t in enumerate(tokens)}
+    owner = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))
+    plain = ~odd[owner]
+    owners, places, times = [owner[plain]], [coded.indices.to_numpy()[plain].astype(np.int64)], [np.ones(int(plain.sum()), np.int64)]
+    for k in np.nonzero(odd)[0].tolist():
+        counted = Counter(pre_tokens(texts[k].as_py()))
+        owners.append(np.full(len(counted), k))
+        places.append(np.array([place.setdefault(t, len(place)) for t in counted], np.int64))
+        times.append(np.fromiter(counted.values(), np.int64, len(counted)))
+    tokens = list(place)
+    key, at = np.unique(np.concatenate(owners) * max(1, len(tokens)) + np.concatenate(places), return_inverse=True)
+    sums = np.bincount(at, np.concatenate(times), len(key)).astype(np.int64)
+    used, places = np.unique(key % max(1, len(tokens)), return_inverse=True)
+    ends = np.searchsorted(key // max(1, len(tokens)), np.arange(len(texts)), side="right")
+    return [tokens[k] for k in used.tolist()], ends, places, sums
+
+
+def document_sums(pieces: np.ndarray, ends: np.ndarray, places: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Pieces of each text, from the pieces of each distinct pre-token."""
+    upto = np.concatenate(([0], np.cumsum(pieces[places] * times)))
+    return np.diff(upto[np.concatenate(([0], ends))])
+
+
 class PieceTable:
-    """Pre-token to number of pieces, each distinct one encoded once."""
+    """The number of pieces of pre-tokens, as the library for a model file gives them."""
 
-    def __init__(self, model_file: str, entries: int = TABLE_ENTRIES):
+    def __init__(self, model_file: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.counts: dict[str, int] = {}
-        self.entries = entries
 
-    def _encode(self, tokens: list[str]) -> None:
+    def pieces(self, tokens: list[str]) -> np.ndarray:
         # a closing run of k spaces stands for k of them: one is put there by the library itself
         asked = [t if t.strip(" ") else t[1:] for t in tokens]
-        for token, shown, ids in zip(tokens, asked, self.model.encode(asked, num_threads=1), strict=True):
-            self.counts[token] = len(ids) if shown else 1
-
-    def _count(self, tokens: list[str]) -> np.ndarray:
-        if len(self.counts) > self.entries:
-            self.counts.clear()
-        self._encode([t for t in tokens if t not in self.counts])
-        return np.fromiter(map(self.counts.__getitem__, tokens), np.int64, len(tokens))
+        encoded = self.model.encode(asked, num_threads=1) if asked else []
+        return np.array([len(ids) if shown else 1 for shown, ids in zip(asked, encoded, strict=True)], np.int64)
 
     def totals(self, texts: pa.StringArray) -> np.ndarray:
-        """Pieces of each text: frequencies of its pre-tokens joined to the table, and summed."""
-        texts = pc.replace_substring(pc.fill_null(texts, ""), "\u2581", " ")
-        odd = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, "^ |  | $")).to_numpy(zero_copy_only=False)
-        cut = pc.split_pattern(texts, " ")
-        coded = cut.flatten().dictionary_encode()
-        count = self._count([t or " " for t in coded.dictionary.to_pylist()])
-        sums = np.concatenate(([0], np.cumsum(count[coded.indices.to_numpy()])))
-        out = np.diff(sums[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
-        for k in np.nonzero(odd)[0].tolist():  # runs of spaces are not words with one space before them
-            frequencies = Counter(pre_tokens(texts[k].as_py()))
-            out[k] = self._count(list(frequencies)) @ np.fromiter(frequencies.values(), np.int64, len(frequencies))
-        return out
+        """Pieces of each text of one block."""
+        tokens, *rest = frequencies(texts)
+        return document_sums(self.pieces(tokens), *rest)
 
 
 def _table(model_file: str) -> PieceTable:
@@ -87,28 +109,52 @@ def _table(model_file: str) -> PieceTable:
     return _tables[model_file]
 
 
-def _counter(model_file: str) -> Callable:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a block of documents."""
+    for batch in batches:
+        for a, b in blocks_of(batch.column("text"), BLOCK_BYTES):
+            texts = batch.column("text")[a:b]
+            tokens, ends, places, times = frequencies(texts)
+            lists = [batch.column("doc_id")[a:b].to_pylist(), pc.fill_null(pc.binary_length(texts), 0).to_pylist(), tokens]
+            arrays = [pa.array([v], pa.list_(t)) for v, t in zip(lists, (pa.int64(), pa.int64(), pa.string()), strict=True)]
+            data = [pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in ((ends, "<u4"), (places, "<u4"), (times, "<u4"))]
+            yield pa.RecordBatch.from_arrays([*arrays, *data], ["doc_ids", "n_bytes", "tokens", "ends", "places", "times"])
+
+
+def _piece_counter(model_file: str) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(model_file)
         for batch in batches:
-            texts = batch.column("text")
-            tokens = [table.totals(texts[a:b]) for a, b in blocks_of(texts)]
-            tokens = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), sizes, pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
-            )
+            for a, b in blocks_of(batch.column("token")):
+                tokens = batch.column("token")[a:b]
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(table.pieces(tokens.to_pylist()))], ["token", "pieces"])
 
     return count
 
 
+def _sum_block(block: pa.Table, counted: pa.Table) -> pa.Table:
+    """Rows of a block's documents; counted: (nth, pieces) of each of its distinct pre-tokens."""
+    pieces = np.zeros(counted.num_rows, np.int64)
+    pieces[counted.column("nth").to_numpy()] = counted.column("pieces").to_numpy()
+    row = {c: block.column(c)[0] for c in block.column_names}
+    sums = document_sums(pieces, *(np.frombuffer(row[c].as_buffer(), "<u4").astype(np.int64) for c in ("ends", "places", "times")))
+    return pa.table([row["doc_ids"].values, row["n_bytes"].values, pa.array(sums, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs(doc_id, text).
 
-    The token table lives in the worker: each distinct pre-token of what the worker reads is
-    encoded once (again after the table reached TABLE_ENTRIES), so no ids and no shuffle are
-    needed and memory is bounded. Null and empty texts have 0 bytes and tokens; a null
-    doc_id stays null; repeated rows each give a row; other columns are ignored.
+    The distinct pre-tokens of the corpus are a table; each is encoded once, whatever its number of documents. Null and
+    empty texts have 0 bytes and tokens; a null doc_id stays null; repeated rows each give a row; other columns are
+    ignored; an empty table gives an empty one. A task holds one block of texts, or one longer text.
     """
-    counted = docs.select("doc_id", "text").mapInArrow(_counter(model_file), "doc_id long, n_bytes long, n_tokens long")
-    return counted.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {int(limit)} AS over_limit")
+    blocks = docs.select("doc_id", "text").mapInArrow(_cut, BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id())
+    blocks = materialise(blocks, "frequencies")
+    asked = blocks.select("block", F.posexplode("tokens").alias("nth", "token"))
+    pieces = materialise(asked.select("token").distinct().mapInArrow(_piece_counter(model_file), "token string, pieces long"), "pieces")
+    counted = asked.join(pieces, "token").select(F.col("block").alias("of_block"), "nth", "pieces")
+    rows = blocks.drop("tokens").groupBy("block").cogroup(counted.groupBy("of_block")).applyInArrow(_sum_block, "doc_id long, n_bytes long, n_tokens long")
+    out = materialise(rows.selectExpr("doc_id", "n_bytes", "n_tokens", f"n_tokens > {int(limit)} AS over_limit"), "counts")
+    for used in (blocks, pieces):
+        discard(used)
+    return out

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessel.llm import pfor, token_counts, token_files
 from tessel.llm.queries import tokenizer_path
@@ -50,9 +51,9 @@ def test_piece_counts_on_spaces(text):
 
 
 def test_piece_counts_are_the_library():
-    table = token_counts.PieceTable(tokenizer_path("piece_bpe_32k.model"), entries=10)
-    for _ in range(2):
-        assert table.totals(pa.array(ODD)).tolist() == [len(x) for x in table.model.encode(ODD)]
+    table = token_counts.PieceTable(tokenizer_path("piece_bpe_32k.model"))
+    for texts in (ODD, ODD[::-1], ODD[:1], ODD * 3):
+        assert table.totals(pa.array(texts)).tolist() == [len(x) for x in table.model.encode(texts)]
     assert table.totals(pa.array([None], pa.string())).tolist() == [0]
 
 
@@ -65,6 +66,16 @@ def test_token_counts_table(spark):
     assert token_counts.token_counts(df.limit(0), tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_token_counts_of_many_blocks(spark, monkeypatch):
+    """Blocks of a few texts each, in several tasks, against the library; each distinct pre-token stands in the table once."""
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 60)
+    table = token_counts._table(tokenizer_path("piece_bpe_32k.model"))
+    rows = [(k, t) for k, t in enumerate([*ODD, "x" * 100_000, " ".join(f"w{k % 7}" for k in range(30_000))] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("clash")).repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(df, tokenizer_path("piece_bpe_32k.model")).collect()}
+    assert got == {k: (len(t.encode()), len(table.model.encode(t))) for k, t in rows}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=300), max_size=6))
 def test_segments_round_trip(docs):

@@ -1,35 +1,57 @@
 """Language identification by cross-parsing: a text is cut into the longest phrases that occur
 in a language's labelled text, found with its suffix automaton; the language that needs
-the fewest phrases a letter wins."""
+the fewest phrases a letter wins.
+
+Automata are built once, a task a language, and sent to the workers as one hash table of their edges, whose size
+follows the sampled text and not the number of different letters.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_of
+from .common import GOLDEN, blocks_of
 
 #: Texts are parsed in pieces of at most so many characters; a phrase ends with its piece.
 PIECE = 2048
-SEPARATOR, UNKNOWN = 0, 1
-
-_parsers: dict[tuple, CrossParser] = {}
+SEPARATOR = 0
+CODES = 0x110000
+#: Whole texts that are learned from: rows of a language at most, the characters at which no further row is taken, and
+#: the characters of all languages together (shared out evenly where there are many languages).
+SAMPLE_ROWS, SAMPLE_CHARS, ALL_CHARS = 64, 100_000, 4_000_000
 
 
 @dataclass(frozen=True)
 class LanguageSamples:
-    """Labelled text by language, as sent to the workers (bounded by the sample's parameters)."""
+    """Labelled text by language (bounded by the sample's parameters)."""
 
     texts: tuple[tuple[str, tuple[str, ...]], ...] = field(default_factory=tuple)
 
 
-def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions [state, letter] of the suffix automaton of a code sequence; -1: none."""
+_is_letter: np.ndarray | None = None
+
+
+def letter_codes(text: str) -> np.ndarray:
+    """Code points of the lower-cased letters; other characters are one separator a run."""
+    global _is_letter
+    if _is_letter is None:
+        _is_letter = np.fromiter((chr(k).isalpha() for k in range(CODES)), bool, CODES)
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    c = np.where(_is_letter[c], c, SEPARATOR)
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != SEPARATOR) | (c[:-1] != SEPARATOR)
+    return c[keep].astype(np.int64)
+
+
+def suffix_automaton(codes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(states, edges, targets) of the suffix automaton of a code sequence; an edge is state * CODES + code, the root is 0."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -56,46 +78,67 @@ def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    out = np.full((len(nxt), letters), -1, np.int32)
-    for state, to in enumerate(nxt):
-        for c, s in to.items():
-            out[state, c] = s
-    return out
+    state = np.repeat(np.arange(len(nxt)), [len(to) for to in nxt])
+    code = np.fromiter((c for to in nxt for c in to), np.int64, len(state))
+    target = np.fromiter((t for to in nxt for t in to.values()), np.int64, len(state))
+    return len(nxt), state * CODES + code, target
+
+
+class EdgeTable:
+    """Edges in an open-addressed hash table, filled to a half at most."""
+
+    def __init__(self, edges: np.ndarray, targets: np.ndarray):
+        bits = max(1, int(2 * len(edges)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.edges, self.targets = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        at, left = self._place(edges), np.arange(len(edges))
+        while len(left):
+            free = self.edges[at[left]] < 0
+            self.edges[at[left[free]]] = edges[left[free]]
+            own = self.edges[at[left]] == edges[left]
+            self.targets[at[left[own]]] = targets[left[own]]
+            left = left[~own]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _place(self, edges: np.ndarray) -> np.ndarray:
+        return ((edges.astype(np.uint64) * GOLDEN) >> self.shift).astype(np.int64)
+
+    def find(self, edges: np.ndarray) -> np.ndarray:
+        """The target of each edge, -1 where there is none."""
+        at = self._place(edges)
+        seen = self.edges[at]
+        out = np.where(seen == edges, self.targets[at], -1)
+        left = np.flatnonzero((seen != edges) & (seen >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            seen = self.edges[at[left]]
+            same = seen == edges[left]
+            out[left[same]] = self.targets[at[left[same]]]
+            left = left[~same & (seen >= 0)]
+        return out
 
 
 class CrossParser:
-    """The automata of all languages in one transition table."""
-
-    def __init__(self, samples: LanguageSamples):
-        self.languages = [lang for lang, _ in samples.texts]
-        seen = sorted({c for _, texts in samples.texts for t in texts for c in t.lower() if c.isalpha()})
-        self.code_of = np.full(0x110000, SEPARATOR, np.uint16)
-        letters = np.array([k for k in range(0x110000) if chr(k).isalpha()], np.int64)
-        self.code_of[letters] = UNKNOWN
-        self.code_of[[ord(c) for c in seen]] = np.arange(len(seen), dtype=np.uint16) + 2
-        tables, self.roots, states = [], [], 0
-        for _, texts in samples.texts:
-            t = suffix_automaton(self.codes("\n".join(texts)), len(seen) + 2)
-            t[:, UNKNOWN] = -1
-            tables.append(np.where(t >= 0, t + states, -1))
-            self.roots.append(states)
-            states += len(t)
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.empty(0, np.int32)
-        self.width = len(seen) + 2
-
-    def codes(self, text: str) -> np.ndarray:
-        """Codes of the lower-cased letters; other characters are one separator a run."""
-        c = self.code_of[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-        keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] != SEPARATOR) | (c[:-1] != SEPARATOR)
-        return c[keep]
+    """The automata of all languages in one table of edges."""
+
+    def __init__(self, samples: LanguageSamples | None = None, automata: list[tuple[str, int, np.ndarray, np.ndarray]] | None = None):
+        if automata is None:
+            automata = [(lang, *suffix_automaton(letter_codes("\n".join(texts)))) for lang, texts in samples.texts]
+        self.languages = [lang for lang, *_ in automata]
+        ends = np.cumsum([0, *(states for _, states, *_ in automata)])
+        self.roots = ends[:-1].astype(np.int64)
+        none = np.empty(0, np.int64)
+        edges = np.concatenate([none, *(e + first * CODES for (*_, e, _), first in zip(automata, self.roots, strict=True))])
+        self.table = EdgeTable(edges, np.concatenate([none, *(t + first for (*_, t), first in zip(automata, self.roots, strict=True))]))
+
+    codes = staticmethod(letter_codes)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases [text, language], letters of each text)."""
         codes = [self.codes(t) for t in texts]
         sizes = np.array([len(c) for c in codes], np.int64)
         letters = np.array([np.count_nonzero(c != SEPARATOR) for c in codes], np.int64)
-        flat = np.concatenate(codes).astype(np.int64) if codes else np.empty(0, np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *codes])
         ends = np.cumsum(sizes)
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(texts)), pieces)
@@ -105,19 +148,22 @@ class CrossParser:
         order = np.argsort(-long, kind="stable")
         start, long, owner = start[order], long[order], owner[order]
         languages = len(self.languages)
-        root = np.array(self.roots, np.int64)[:, None]
-        state = np.broadcast_to(root, (languages, len(start))).copy()
-        count = np.zeros((languages, len(start)), np.int64)
+        # pieces by languages, so that those still read are the first rows
+        root = np.broadcast_to(self.roots, (len(start), languages))
+        state, count = root.copy(), np.zeros((len(start), languages), np.int64)
         active = np.searchsorted(-long, -np.arange(long[0] if len(long) else 0), side="left")
         for t, n in enumerate(active.tolist()):
-            c = flat[start[:n] + t]
-            to = self.table[state[:, :n] * self.width + c]
-            failed = to < 0
-            count[:, :n] += failed
-            again = self.table[root * self.width + c]
-            state[:, :n] = np.where(failed, np.where(again < 0, root, again), to)
+            c = np.repeat(flat[start[:n] + t], languages)
+            now, done = state[:n].reshape(-1), count[:n].reshape(-1)
+            to = self.table.find(now * CODES + c)
+            failed = np.flatnonzero(to < 0)
+            first = root[:n].reshape(-1)[failed]
+            again = self.table.find(first * CODES + c[failed])
+            to[failed] = np.where(again < 0, first, again)
+            now[:] = to
+            done[failed] += 1
         out = np.zeros((len(texts), languages), np.int64)
-        np.add.at(out, owner, count.T + 1)  # the phrase that a piece's end closes
+        np.add.at(out, owner, count + 1)  # the phrase that a piece's end closes
         return out, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -135,56 +181,55 @@ class CrossParser:
         return names[best].tolist(), np.nan_to_num(score)
 
 
-def _parser(samples: LanguageSamples) -> CrossParser:
-    if samples not in _parsers:
-        _parsers.clear()
-        _parsers[samples] = CrossParser(samples)
-    return _parsers[samples]
-
-
-def language_samples(docs: DataFrame, rows: int = 64, chars: int = 400) -> LanguageSamples:
-    """A bounded sample of labelled text: per language `rows` rows in the order of their hashes, and
-    `chars` characters from the middle of each. Rows without language or letters are left out."""
+def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """lang, n, text: whole labelled texts, per language at most `rows` different ones in the order of their hashes, and none
+    once those before it hold `chars` characters (fewer where ALL_CHARS is shared by many languages). Texts longer than
+    that come last, so one is taken only where shorter ones don't suffice. Rows without language or letters are left out."""
     labelled = docs.select("lang", "text").where("lang is not null and lang <> 'und' and text rlike '\\\\p{L}'")
     key = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     # a row a language; of a language with many rows, only small hashes are ranked
     counts = [(r["lang"], int((1 << 40) * min(1.0, 16 * rows / r["n"]))) for r in labelled.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()]
     if not counts:
-        return LanguageSamples()
+        return labelled.limit(0).select("lang", F.lit(0).alias("n"), "text")
+    chars = min(chars, ALL_CHARS // len(counts))
     below = F.create_map(*(F.lit(x) for c in counts for x in c))[F.col("lang")]
-    middle = F.expr(f"substring(text, cast(greatest(1, (length(text) - {int(chars)}) / 2) as int), {int(chars)})")
-    picked = labelled.where(key <= below).select("lang", key.alias("h"), middle.alias("text")).distinct()
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("lang", "n", "text")
-    by: dict[str, list[str]] = {}
-    for r in sorted(picked.collect()):
-        by.setdefault(r["lang"], []).append(r["text"])
-    return LanguageSamples(tuple((k, tuple(v)) for k, v in sorted(by.items())))
+    picked = labelled.where(key <= below).select("lang", key.alias("h"), "text", F.length("text").alias("size")).distinct()
+    order = Window.partitionBy("lang").orderBy(F.col("size") > chars, "h", "text")
+    held = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return picked.select("lang", F.row_number().over(order).alias("n"), "text", held.alias("held")).where((F.col("n") <= rows) & (F.col("held") < chars)).drop("held")
 
 
-def _predictor(samples: LanguageSamples) -> Callable:
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(samples)
-        for batch in batches:
-            names, scores = [], []
-            for a, b in blocks_of(batch.column("text"), 4 << 20):
-                n, s = parser.predict(batch.column("text")[a:b].to_pylist())
-                names += n
-                scores.append(s)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "lang_pred", "score"]
-            )
+def _build(rows: pd.DataFrame) -> pd.DataFrame:
+    states, edges, targets = suffix_automaton(letter_codes("\n".join(rows.sort_values("n")["text"])))
+    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "states": [states], "edges": [edges.tobytes()], "targets": [targets.astype("<u4").tobytes()]})
 
-    return predict
 
+def train_parser(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> CrossParser:
+    """The automata of the sampled texts of docs(lang, text); about 20 bytes a sampled character reach the driver."""
+    built = sample_texts(docs, rows, chars).groupBy("lang").applyInPandas(_build, "lang string, states long, edges binary, targets binary")
+    of = lambda r: (r["lang"], r["states"], np.frombuffer(r["edges"], np.int64), np.frombuffer(r["targets"], "<u4").astype(np.int64))
+    return CrossParser(automata=sorted(map(of, built.collect()), key=lambda a: a[0]))
 
-def identify_languages(docs: DataFrame, train: Column, rows: int = 64, chars: int = 400) -> DataFrame:
+
+def identify_languages(docs: DataFrame, train: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """doc_id, lang_pred, score of every row of docs(doc_id, text, lang).
 
     Only rows where `train` holds are learned from, and of them text and lang alone. `und`, score 0:
     null texts, texts without a letter, and all texts where no labelled row exists. Ties go to the
-    language first in order. Whole texts are parsed; repeated rows each give a row; other columns are
+    language first in order. Whole texts are learned from and parsed; repeated rows each give a row; other columns are
     ignored.
     """
-    samples = language_samples(docs.where(train), rows, chars)
-    return docs.select("doc_id", "text").mapInArrow(_predictor(samples), "doc_id long, lang_pred string, score double")
+    # bounded by the sample's parameters
+    sent = docs.sparkSession.sparkContext.broadcast(train_parser(docs.where(train), rows, chars))
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = sent.value
+        for batch in batches:
+            names, scores = [], [np.empty(0)]
+            for a, b in blocks_of(batch.column("text"), 4 << 20):
+                n, s = parser.predict(batch.column("text")[a:b].to_pylist())
+                names += n
+                scores.append(s)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import blocks_of, discard, hash_sample, materialise
 
 #: Labelled rows of the fitted sample.
 SAMPLE_ROWS = 12_000
@@ -35,6 +35,16 @@ def word_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_counts=True)
 
 
+def _weighed(words: np.ndarray, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(places in `words`, ascending hashes, of those that the text holds; how often it holds each)."""
+    h, n = word_counts(text)
+    if not len(words):
+        return np.empty(0, np.int64), n[:0]
+    at = np.searchsorted(words, h)
+    hit = words[np.minimum(at, len(words) - 1)] == h
+    return at[hit], n[hit]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     words: np.ndarray
@@ -47,10 +57,8 @@ class ToxicityModel:
         """P(grade > k) for [text, k]."""
         z = np.zeros(len(texts))
         for i, t in enumerate(texts):
-            h, n = word_counts(t)
-            at = np.searchsorted(self.words, h)
-            hit = np.nonzero(self.words[np.minimum(at, len(self.words) - 1)] == h)[0] if len(self.words) else []
-            z[i] = self.weights[at[hit]] @ np.log2(1.0 + n[hit]) if len(hit) else 0.0
+            at, n = _weighed(self.words, t)
+            z[i] = self.weights[at] @ np.log2(1.0 + n) if len(at) else 0.0
         return 1 / (1 + np.exp(-(z[:, None] - self.thresholds[None, :]).clip(-500, 500)))
 
 
@@ -87,57 +95,68 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return p[:n_columns], thresholds(p)
 
 
-def _featuriser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, toxic) of each distinct word of each text."""
     for batch in batches:
-        out = [(h.tobytes(), n.astype(np.uint16).tobytes() if n.max(initial=0) < 1 << 16 else np.minimum(n, 65535).astype(np.uint16).tobytes()) for h, n in (word_counts(t.as_py()) for t in batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([h for h, _ in out], pa.binary()), pa.array([n for _, n in out], pa.binary())], ["toxic", "words", "n"])
+        for a, b in blocks_of(batch.column("text")):
+            held = [word_counts(t.as_py())[0] for t in batch.column("text")[a:b]]
+            toxic = np.repeat(batch.column("toxic")[a:b].to_numpy() > 0, [len(h) for h in held])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(toxic)], ["word", "toxic"])
+
+
+def _counter(words: np.ndarray) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Grade label, places of the chosen words that a text holds and how often it holds them."""
+        for batch in batches:
+            held = [_weighed(words, t.as_py()) for t in batch.column("text")]
+            columns = [pa.array([x.astype("<u4").tobytes() for x, _ in held], pa.binary()), pa.array([np.minimum(n, 2**32 - 1).astype("<u4").tobytes() for _, n in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *columns], ["toxic", "at", "n"])
+
+    return count
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, features: int = FEATURES) -> ToxicityModel:
-    """Fit on at most `rows` labelled rows, in the order of their hashes.
+    """Fit on at most `rows` labelled rows, in the order of their hashes, with their whole texts.
 
     labels(doc_id, toxic): 0 is grade 0. Where toxic is above 1 anywhere in the sample, it is the grade.
-    A 0/1 label is graded: words that occur mostly in toxic rows (log-odds above 2) are counted, and a toxic
+    A 0/1 label is graded: chosen words that occur mostly in toxic rows (log-odds above 2) are counted, and a toxic
     row has grade 1, 2 or 3 by GRADE_CUTS. Null ids, null labels and null texts are left out; of
     several labels of a document the largest counts. Without labelled rows nothing is toxic.
+
+    Words are counted by Spark over the sample, which is a table in the shared folder; the driver gets the chosen
+    words, and of each row how often it holds them, so its memory is bounded by rows and features, whatever the texts' length.
     """
+    nothing = ToxicityModel(np.empty(0, np.uint64), np.empty(0), np.array([20.0, 21.0, 22.0]))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("k")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = hash_sample(known, rows, F.col("k"))
     # at most `rows` ids: small enough to broadcast
     texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("toxic", "text")
-    got = texts.mapInArrow(_featuriser, "toxic int, words binary, n binary").toPandas()
+    texts = materialise(texts, "toxicity")
+    n, n_bad, top = texts.agg(F.count("*"), F.count_if(F.col("toxic") > 0), F.max("toxic")).first()
+    if not n_bad or n_bad == n:
+        discard(texts)
+        return nothing
+    seen = texts.mapInArrow(_presence, "word long, toxic boolean").groupBy("word").agg(F.count("*").alias("held"), F.count_if("toxic").alias("bad")).where(F.col("held") >= LEAST_ROWS)
+    expected = F.col("held") * F.lit(n_bad / n)
+    strength = (F.col("bad") - expected) ** 2 / (expected * F.lit(1 - n_bad / n))
+    best = seen.withColumn("strength", strength).where(F.col("strength") >= LEAST_STRENGTH).orderBy(F.desc("strength"), "word").limit(features).collect()
+    best = sorted((np.int64(r["word"]).view(np.uint64), r["held"], r["bad"]) for r in best)
+    words, held, bad = np.array([w for w, *_ in best], np.uint64), *(np.array([b[k] for b in best], np.float64) for k in (1, 2))
+    got = texts.mapInArrow(_counter(words), "toxic int, at binary, n binary").toPandas()
+    discard(texts)
+    got = got.sort_values(["toxic", "at", "n"], kind="stable")  # the same sums whatever the order of the rows
     toxic = got["toxic"].to_numpy(np.int64)
-    words = [np.frombuffer(b, np.uint64) for b in got["words"]]
-    counts = [np.frombuffer(b, np.uint16) for b in got["n"]]
-    del got
-    if not len(toxic) or not toxic.any() or toxic.all():
-        return ToxicityModel(np.empty(0, np.uint64), np.empty(0), np.array([20.0, 21.0, 22.0]))
-    order = np.lexsort(([int(w.sum(dtype=np.uint64)) for w in words], toxic))
-    toxic, words, counts = toxic[order], [words[i] for i in order], [counts[i] for i in order]
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    word, column = np.unique(np.concatenate(words), return_inverse=True)
-    value = np.concatenate(counts).astype(np.float64)
-    bad = np.bincount(column, toxic[row] > 0, minlength=len(word))
-    all_ = np.bincount(column, minlength=len(word))
-    n_bad = (toxic > 0).sum()
-    n_good = len(toxic) - n_bad
-    odds = np.log((bad + 0.5) / (n_bad - bad + 0.5)) - np.log((all_ - bad + 0.5) / (n_good - all_ + bad + 0.5))
-    expected = all_ * (n_bad / len(toxic))
-    strength = np.where(all_ >= LEAST_ROWS, (bad - expected) ** 2 / (expected * (1 - n_bad / len(toxic)) + 1e-9), -1)
-    kept = np.sort(np.argsort(-strength, kind="stable")[:features])
-    kept = kept[strength[kept] >= LEAST_STRENGTH]
-    if toxic.max() > 1:
-        grades, levels = toxic, int(toxic.max()) + 1
+    column, value = (np.concatenate([np.frombuffer(b, "<u4") for b in got[c]]).astype(np.int64) for c in ("at", "n"))
+    row = np.repeat(np.arange(n), [len(b) // 4 for b in got["at"]])
+    if top > 1:
+        grades, levels = toxic, int(top) + 1
     else:
-        marks = (odds > 2) & (strength > 10)
-        seen = np.bincount(row, value * marks[column], minlength=len(toxic))
-        grades = np.where(toxic > 0, 1 + sum(seen >= c for c in GRADE_CUTS), 0)
+        odds = np.log((bad + 0.5) / (n_bad - bad + 0.5)) - np.log((held - bad + 0.5) / (n - n_bad - held + bad + 0.5))
+        marks = np.bincount(row, value * (odds > 2)[column], minlength=n)
+        grades = np.where(toxic > 0, 1 + sum(marks >= c for c in GRADE_CUTS), 0)
         levels = 2 + len(GRADE_CUTS)
-    place = np.full(len(word), -1)
-    place[kept] = np.arange(len(kept))
-    own = place[column] >= 0
-    weights, thresholds = fit_ordinal(row[own], place[column[own]], np.log2(1 + value[own]), grades, len(kept), levels)
-    return ToxicityModel(word[kept], weights, thresholds)
+    weights, thresholds = fit_ordinal(row, column, np.log2(1.0 + value), grades, len(words), levels)
+    return ToxicityModel(words, weights, thresholds)
 
 
 def _scorer(model: ToxicityModel) -> Callable:

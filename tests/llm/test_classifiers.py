@@ -148,6 +148,48 @@ def test_suffix_automaton_against_search():
             assert parser.phrases([text])[0][0, 0] == phrases(text)
 
 
+def test_automata_of_many_letters_are_small():
+    """Tables follow the text: 3,000 different letters, as in scripts of many characters."""
+    rng = random.Random(8)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    texts = {lang: "".join(rng.choice(letters) for _ in range(20_000)) for lang in ("x", "y")}
+    parser = langid.CrossParser(langid.LanguageSamples(tuple((k, (t,)) for k, t in texts.items())))
+    assert parser.table.edges.nbytes + parser.table.targets.nbytes < 20 << 20
+    assert parser.predict([texts["x"][500:560], texts["y"][-60:], "中" * 3, "123"])[0] == ["x", "y", parser.predict(["中" * 3])[0][0], "und"]
+    keys = rng.sample(range(10**9), 5000)
+    table = langid.EdgeTable(np.array(keys[:4000]), np.arange(4000))
+    assert table.find(np.array(keys)).tolist() == [*range(4000), *[-1] * 1000]
+
+
+def test_predictions_match_a_plain_cross_parse(spark):
+    """The whole operator against longest matches found by searching the sampled texts."""
+    rng = random.Random(21)
+    rows = [(k, " ".join("".join(rng.choice(LANGUAGES[lang] + ("e", "s")) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 25))), lang) for k in range(90) for lang in [list(LANGUAGES)[k % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sampled = langid.sample_texts(df.where("doc_id % 2 = 0"), rows=9, chars=1500).collect()
+    assert all(r["text"] in {t for _, t, _ in rows} for r in sampled)  # whole texts
+    for lang in LANGUAGES:
+        own = sorted((r["n"], len(r["text"])) for r in sampled if r["lang"] == lang)
+        assert 1 <= len(own) <= 9 and sum(n for _, n in own[:-1]) < 1500
+    trained = {lang: langid.letter_codes("\n".join(r["text"] for r in sorted(sampled, key=lambda r: r["n"]) if r["lang"] == lang)).tolist() for lang in LANGUAGES}
+
+    def phrases(text, source):
+        codes, n, at = langid.letter_codes(text).tolist(), 1, 0
+        while at < len(codes):
+            k = 0
+            while at + k < len(codes) and any(source[i : i + k + 1] == codes[at : at + k + 1] for i in range(len(source))):
+                k += 1
+            if at + k == len(codes):
+                break
+            n, at = n + 1, at + k + (codes[at + k] not in source)  # an unknown letter ends its phrase
+        return n
+
+    for r in langid.identify_languages(df, F.col("doc_id") % 2 == 0, rows=9, chars=1500).collect()[:40]:
+        counts = {lang: phrases(rows[r["doc_id"]][1], t) for lang, t in trained.items()}
+        low, second = sorted(counts.values())[:2]
+        assert r["lang_pred"] == min(counts, key=lambda x: (counts[x], x)) and r["score"] == pytest.approx(1 - low / second)
+
+
 def base_spans(text):
     import re
 
@@ -237,3 +279,39 @@ def test_long_runs_and_many_matches_take_linear_time(spark, markov):
         begun = time.time()
         assert scan(text) == want
         assert time.time() - begun < fixed + 15
+
+
+def test_toxicity_held_out_and_against_another_optimiser(spark, corpus):
+    """Learned from even ids, right on odd ones; the fit's likelihood against plain gradient descent's."""
+    docs, labels = corpus
+    model = toxicity.train_toxicity(docs, labels.where("doc_id % 4 <> 1"))
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score_toxicity(docs, model).collect()}
+    held = [k for k in range(600) if k % 4 == 1]
+    assert np.mean([got[k] == (k % 5 == 1) for k in held]) > 0.97
+
+    rng = np.random.default_rng(4)
+    x = rng.poisson(0.7, (400, 3)).astype(float)
+    z = x @ [1.0, -0.6, 0.4] + rng.logistic(size=400)
+    grades = (z > 0.5).astype(int) + (z > 1.8)
+    rows, columns = np.nonzero(x)
+
+    def loss(w, cuts):
+        s = 1 / (1 + np.exp(-((x @ w)[:, None] - cuts)))
+        s = np.hstack([np.ones((400, 1)), s, np.zeros((400, 1))])
+        return -np.log(s[np.arange(400), grades] - s[np.arange(400), grades + 1]).mean()
+
+    fitted = loss(*toxicity.fit_ordinal(rows, columns, x[rows, columns], grades, 3, 3, l2=0.0))
+    p = np.array([0.0, 0, 0, 0, 1])
+    for _ in range(3000):  # numeric gradients of the plain likelihood
+        step = np.array([(loss((p + d)[:3], (p + d)[3:]) - loss((p - d)[:3], (p - d)[3:])) / 2e-5 for d in np.eye(5) * 1e-5])
+        p = p - 0.5 * step
+    assert fitted == pytest.approx(loss(p[:3], p[3:]), abs=2e-4)
+
+
+def test_quality_risk_and_unseen_labels(spark, corpus):
+    """A label of a held-out row changes no score."""
+    docs, labels = corpus
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    flipped = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = ({r["doc_id"]: r["score"] for r in quality.score_quality(docs, quality.train_quality(docs, x, ~held)).collect()} for x in (labels, flipped))
+    assert a == b and len(a) == 600

@@ -69,6 +69,7 @@ def test_token_counts_table(spark):
 def test_token_counts_of_many_blocks(spark, monkeypatch):
     """Blocks of a few texts each, in several tasks, against the library; each distinct pre-token stands in the table once."""
     monkeypatch.setattr(token_counts, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(token_counts, "BUCKET_TOKENS", 12)
     table = token_counts._table(tokenizer_path("piece_bpe_32k.model"))
     rows = [(k, t) for k, t in enumerate([*ODD, "x" * 100_000, " ".join(f"w{k % 7}" for k in range(30_000))] * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("clash")).repartition(5)

@@ -3,7 +3,8 @@
 Texts are words (runs of letters and digits, lower-cased). A mask looks at some of the words of a
 window and ignores the rest, so a hash of the words it looks at still agrees where an ignored word was
 substituted. The masks of a window are chosen so that, wherever the substitutions that it may hold fall,
-some mask at some place of the window looks at none of them. Hashes of benchmark windows are joined with those of the documents; around each hit the
+some mask at some place of the window looks at none of them. Hashes of benchmark windows are joined with those of the
+documents that pass a broadcast filter of them, so only likely hits are shuffled, each with the words around it; there the
 document and the item are aligned and a window of words is verified with some substitutions allowed.
 """
 
@@ -16,14 +17,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, fresh_name, materialise
+from .common import bit_filter, bounded_broadcast, discard, fresh_name, materialise, maybe_in
 
 #: Masks of one window size at most; they look at as many words as so many masks allow.
 MOST_MASKS = 3
 #: Windows up to so many words have spaced masks, found by enumeration; longer ones have a run of words.
 ENUMERATED = 13
-#: Benchmark windows that are broadcast at most (about 40 bytes each); more are joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
 #: Items that are broadcast at most, by their words in all; more are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
 #: Documents are looked through in pieces of so many words, each with the words around it that a window can reach.
@@ -87,10 +86,11 @@ def _seeds(masks: dict[Mask, list[int]], hashes: Column, at: Column, window: Col
     return F.array(*(F.when(used(mask), F.xxhash64(F.lit(k), *(F.get(hashes, at + p) for p in mask))) for k, mask in enumerate(masks)))
 
 
-def benchmark_items(benchmark: DataFrame, overlap: Overlap) -> DataFrame:
-    """item_id, item: the items' word hashes. Items of the same words are looked for once, under their smallest item_id."""
-    items = benchmark.where("text is not null").select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= max(1, overlap.least))
-    return items.groupBy("item").agg(F.min("item_id").alias("item_id"))
+def benchmark_items(benchmark: DataFrame, overlap: Overlap) -> tuple[DataFrame, DataFrame]:
+    """(item_key, item) of the items' different word sequences, and (item_key, item_id) of all items that have them."""
+    named = benchmark.where("text is not null").select("item_id", word_hashes(F.col("text")).alias("item")).where(F.size("item") >= max(1, overlap.least))
+    items = materialise(named.groupBy("item").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("item_key"), "item"), "items")
+    return items, materialise(named.join(items, "item").select("item_key", "item_id").distinct(), "item-names")
 
 
 def _window(overlap: Overlap) -> Column:
@@ -107,11 +107,11 @@ def masks_of(sizes: list[int], overlap: Overlap) -> dict[Mask, list[int]]:
 
 
 def benchmark_seeds(items: DataFrame, masks: dict[Mask, list[int]], overlap: Overlap) -> DataFrame:
-    """seed, item_id, item_at, span of every masked window of every item."""
-    placed = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("item_at"))
-    seeds = placed.select("item_id", "item_at", F.posexplode(_seeds(masks, F.col("item"), F.col("item_at"), _window(overlap))).alias("mask", "seed")).where("seed is not null")
+    """seed, item_key, item_at, span of every masked window of every item."""
+    placed = items.select("item_key", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("item_at"))
+    seeds = placed.select("item_key", "item_at", F.posexplode(_seeds(masks, F.col("item"), F.col("item_at"), _window(overlap))).alias("mask", "seed")).where("seed is not null")
     spans = F.element_at(F.array(*(F.lit(m[-1] + 1) for m in masks)), F.col("mask") + 1)
-    return seeds.select("seed", "item_id", "item_at", spans.alias("span"))
+    return seeds.select("seed", "item_key", "item_at", spans.alias("span"))
 
 
 def _best_window(overlap: Overlap) -> Column:
@@ -125,23 +125,14 @@ def _best_window(overlap: Overlap) -> Column:
     return F.array_max(F.transform(starts, agree))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overlap(), key: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: B008
-    """One row for each document and item that it holds: the key, item_id, matched (most agreeing words of
-    a window), window (its words), doc_at (the first place of a hit, in words from 0).
-
-    docs(doc_id, text) may hold null texts (no words, no match) and repeated rows (one row together, as
-    long as the key is the same); a null doc_id is a key like another. benchmark(item_id, text) may be empty: no rows
-    then. Other columns are ignored. A document's words are dealt out in pieces, and a hit carries its
-    piece along, so a long document costs no more a word than a short one.
-    """
+def _found(docs: DataFrame, items: DataFrame, overlap: Overlap, key: tuple[str, ...]) -> DataFrame:
+    """key_0 and so on, item_key, matched, window, doc_at of each document and word sequence that it holds; a table."""
     reach = overlap.window - 1
-    keys = [f"key_{k}" for k in key]
-    items = materialise(benchmark_items(benchmark, overlap), "items")
-    sizes, windows = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.collect_set(_window(overlap))).first()
+    keys = [f"key_{k}" for k in range(len(key))]
+    words, windows = items.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)), F.collect_set(_window(overlap))).first()
     masks = masks_of(windows or [overlap.window], overlap)
-    seeds = benchmark_seeds(items, masks, overlap)
-    few = sizes * len(masks) <= BROADCAST_WINDOWS
-    cut = docs.where("text is not null").select(*(F.col(k).alias(f"key_{k}") for k in key), word_hashes(F.col("text")).alias("hashes"))
+    seeds = materialise(benchmark_seeds(items, masks, overlap), "seeds")
+    cut = docs.where("text is not null").select(*(F.col(c).alias(k) for c, k in zip(key, keys, strict=True)), word_hashes(F.col("text")).alias("hashes"))
     starts = F.when(F.size("hashes") > 0, F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
     pieces = F.transform(starts, lambda b: F.slice("hashes", F.greatest(b - reach, F.lit(0)) + 1, F.least(b, F.lit(reach)) + PIECE + reach))
     cut = cut.select(*keys, F.posexplode(pieces).alias("nth", "piece"))
@@ -149,20 +140,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overl
     last = F.least(own + PIECE, F.size("piece") - min(m[-1] for m in masks)) - 1
     cut = cut.where(last >= own)
     placed = cut.select(*keys, "nth", "piece", F.explode(F.sequence(own, last)).alias("at"))
-    probes = placed.select(*keys, "nth", "piece", "at", F.explode(_seeds(masks, F.col("piece"), F.col("at"))).alias("seed"))
+    probes = placed.select(*keys, "nth", "piece", "at", F.explode(_seeds(masks, F.col("piece"), F.col("at"))).alias("seed")).where("seed is not null")
+    likely = maybe_in(probes, "seed", bit_filter(seeds.select("seed").distinct(), "seed"))
+    # a hit takes only the words around it along
+    around = F.slice("piece", F.greatest(F.col("at") - reach, F.lit(0)) + 1, 2 * reach + 1)
     doc_at = F.col("nth") * PIECE - own + F.col("at")
-    if few:
-        hits = probes.join(F.broadcast(seeds), "seed")
-    else:  # a shuffled probe takes only the words around it along
-        around = F.slice("piece", F.greatest(F.col("at") - reach, F.lit(0)) + 1, 2 * reach + 1)
-        probes = probes.where("seed is not null").select(*keys, "nth", doc_at.alias("doc_at"), around.alias("piece"), F.least("at", F.lit(reach)).alias("at"), "seed")
-        hits = probes.join(seeds, "seed")
-    met = hits.join(bounded_broadcast(items, sizes, BROADCAST_WORDS), "item_id")
-    size = _window(overlap)
-    found = met.select(*keys, "item_id", (doc_at if few else F.col("doc_at")).alias("doc_at"), size.alias("window"), _best_window(overlap).alias("matched"))
+    likely = likely.select(*keys, doc_at.alias("doc_at"), around.alias("piece"), F.least("at", F.lit(reach)).alias("at"), "seed")
+    met = likely.join(seeds, "seed").join(bounded_broadcast(items, words, BROADCAST_WORDS), "item_key")
+    found = met.select(*keys, "item_key", "doc_at", _window(overlap).alias("window"), _best_window(overlap).alias("matched"))
     found = found.where(F.col("matched") * 100 >= F.col("window") * overlap.percent)
-    per = found.groupBy(*keys, "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"), F.min("doc_at").cast("long").alias("doc_at"))
-    return per.select(*(F.col(f"key_{k}").alias(k) for k in key), "item_id", "matched", "window", "doc_at")
+    most = [F.max(c).cast("long").alias(c) for c in ("matched", "window")]
+    out = materialise(found.groupBy(*keys, "item_key").agg(*most, F.min("doc_at").cast("long").alias("doc_at")), "found")
+    discard(seeds)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overlap(), key: tuple[str, ...] = ("doc_id",)) -> DataFrame:  # noqa: B008
+    """One row for each document and item that it holds: the key, item_id, matched (most agreeing words of
+    a window), window (its words), doc_at (the first place of a hit, in words from 0).
+
+    docs(doc_id, text) may hold null texts (no words, no match) and repeated rows (one row together, as
+    long as the key is the same); a null doc_id is a key like another. benchmark(item_id, text) may be empty: no rows
+    then. Items of the same words are each reported; repeated rows of one item once. Other columns are ignored.
+    A document's words are dealt out in pieces, so a long document costs no more a word than a short one.
+    """
+    items, names = benchmark_items(benchmark, overlap)
+    found = _found(docs, items, overlap, key)
+    named = found.join(names, "item_key").select(*(F.col(f"key_{k}").alias(c) for k, c in enumerate(key)), "item_id", "matched", "window", "doc_at")
+    out = materialise(named, "contaminated")
+    for used in (items, names, found):
+        discard(used)
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Overlap()) -> DataFrame:  # noqa: B008
@@ -172,6 +180,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, overlap: Overlap = Over
     is null or repeated stays.
     """
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    items, names = benchmark_items(benchmark, overlap)
     bad_id, bad_hash = fresh_name(docs, "bad_id"), fresh_name(docs, "bad_hash")
-    bad = contaminated(hashed, benchmark, overlap, ("doc_id", "text_hash")).select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_hash)).distinct()
+    bad = _found(hashed, items, overlap, ("doc_id", "text_hash")).select(F.col("key_0").alias(bad_id), F.col("key_1").alias(bad_hash)).distinct()
+    for used in (items, names):
+        discard(used)
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_hash)), "left_anti")

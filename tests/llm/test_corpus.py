@@ -44,14 +44,53 @@ def test_benchmark_items_are_found(spark):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).count() == len(rows)
 
 
-def test_shuffled_seeds_give_the_same(spark, monkeypatch):
+def test_shuffled_seeds_give_the_same(spark):
     rng = random.Random(2)
     items = [(k, text_of(rng, 20)) for k in range(5)]
     docs = spark.createDataFrame([(k, text_of(rng, 30) + " " + items[k % 5][1] if k % 2 else text_of(rng, 50)) for k in range(20)], "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect()))
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
-    assert sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect())) == want and len(want) == 10
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, decontamination.contaminated(docs, benchmark).collect())) == want and len(want) == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def brute_overlaps(rows, items, overlap):
+    """(document, item, most agreeing words) over all alignments and windows."""
+    out = set()
+    for k, text in rows:
+        doc = (text or "").lower().split()
+        for item, words in ((i, t.split()) for i, t in items):
+            size, most = min(overlap.window, len(words)), 0
+            for shift in range(size - len(words), len(doc) - size + 1):
+                same = [0 <= shift + p < len(doc) and doc[shift + p] == w for p, w in enumerate(words)]
+                most = max([most, *(sum(same[p : p + size]) for p in range(len(words) - size + 1) if shift + p >= 0 and shift + p + size <= len(doc))])
+            if size and 100 * most >= overlap.percent * size:
+                out.add((k, item, most))
+    return out
+
+
+@pytest.mark.parametrize("overlap", [decontamination.Overlap(), decontamination.Overlap(window=8, percent=60)])
+def test_overlaps_match_all_alignments(spark, overlap, monkeypatch):
+    """Texts and items of few words, so that parts agree in many places; texts cross pieces."""
+    monkeypatch.setattr(decontamination, "PIECE", 16)
+    rng = random.Random(overlap.window)
+    word = lambda: f"v{rng.randrange(12)}"
+    items = [(n, " ".join(word() for _ in range(n))) for n in (2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 14, 20, 33)]
+    rows = []
+    for k in range(150):
+        words = [word() for _ in range(rng.randrange(40))]
+        part = rng.choice(items)[1].split()
+        part = [w if rng.random() < 0.8 else word() for w in part[rng.randrange(3) :]]
+        at = rng.randrange(len(words) + 1)
+        rows.append((k, " ".join(words[:at] + part + words[at:])))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (50, items[-1][1]), (50, items[-1][1])], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontamination.contaminated(docs, benchmark, overlap).collect()}
+    want = brute_overlaps(rows, items, overlap)
+    assert len(want) > 60 and got == want | {(k, 50, n) for k, i, n in want if i == 33}
 
 
 @pytest.mark.parametrize("overlap", [decontamination.Overlap(), decontamination.Overlap(percent=60), decontamination.Overlap(window=16, percent=80)])

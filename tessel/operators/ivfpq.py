@@ -131,7 +131,7 @@ def build_ivfpq(vectors: DataFrame, config: IvfPqConfig, coarse: KMeansFit | Non
     coarse = coarse or train_coarse(vectors, config)
     n = vectors.count()
     held = sample(vectors.select("id", "vec"), config.pq_training_rows(n), config.seed)
-    pq = train_pq(residuals(held, coarse.centroids), config.m, config.iterations, config.seed + 7, config.init, config.points_per_centroid)
+    pq = train_pq(residuals(held, coarse.centroids), config.m, config.iterations, config.seed, config.init, config.points_per_centroid)
     postings = vectors.select("id", "vec").mapInArrow(_encoder(coarse.centroids, pq), "list_id int, id long, code array<short>")
     return IvfPqIndex(replace(config, nlist=len(coarse.centroids)), coarse.centroids, pq, postings)
 

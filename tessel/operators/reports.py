@@ -173,7 +173,7 @@ def quoted(text: Column) -> Column:
 
 def csv_row(rows: DataFrame) -> Column:
     """A measurement as one CSV line: index and params quoted, 6 places of recall and 3 of times, whatever the locale."""
-    six, three = (lambda c: F.format_string("%.6f", F.col(c))), (lambda c: F.format_string("%.3f", F.col(c)))
+    six, three = (lambda c: F.format_string("%.6f", F.col(c))), (lambda c: F.when(F.col(c).isNull(), "").otherwise(F.format_string("%.3f", F.col(c))))
     return F.concat_ws(
         ",", "harness", "dataset", quoted(F.col("index")), quoted(F.col("params")), F.col("k").cast("string"), six("recall_at_k"), three("mean_latency_us"), three("p95_latency_us"),
         three("build_seconds"), F.col("index_bytes").cast("string"), F.col("base_bytes").cast("string"), F.col("queries").cast("string"), F.col("runs").cast("string"), "timestamp",

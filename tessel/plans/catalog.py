@@ -1,79 +1,65 @@
-"""Named datasets and the bundle that a benchmark run works on."""
+"""Tables of a nearest-neighbour workload, read from its files."""
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.knn import knn
-from ..sources.vecs import VecsError, dimension_of, read_fvecs, read_ivecs
+from ..sources.vecs import VecsError, count_vectors, dimension_of, read_fvecs, read_ivecs
+
+#: Public collections with the stem of their file names and their dimensions, and how their files are named.
+COLLECTIONS = {"sift1m": ("sift", 128), "gist1m": ("gist", 960)}
+FILES = {"base": "base.fvecs", "queries": "query.fvecs", "truth": "groundtruth.ivecs"}
+#: Neighbours a query that a truth computed here holds at least.
+TRUTH_WIDTH = 100
 
 
 @dataclass(frozen=True)
-class Dataset:
-    """Files of a dataset under a root folder, and the dimension that they must have."""
+class Workload:
+    """base(id, vec), queries(qid, vec), truth(qid, rank, id); computed: the truth is a search's and not a file's."""
 
     name: str
-    dim: int
-    folder: str
-    base: str
-    queries: str
-    truth: str
-
-    def path(self, root: str, file: str) -> str:
-        return os.path.join(root, self.folder, file)
-
-    def is_available(self, root: str) -> bool:
-        return all(os.path.exists(self.path(root, f)) for f in (self.base, self.queries, self.truth))
-
-    def _vectors(self, spark: SparkSession, path: str, most: int | None) -> DataFrame:
-        found = dimension_of(path)
-        if found != self.dim:
-            raise VecsError(f"{path} has dimension {found}, {self.name} has {self.dim}")
-        return read_fvecs(spark, path, most)
-
-    def load_base(self, spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
-        return self._vectors(spark, self.path(root, self.base), most)
-
-    def load_queries(self, spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
-        return self._vectors(spark, self.path(root, self.queries), most).withColumnRenamed("id", "qid")
-
-    def load_truth(self, spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
-        """qid, rank, id."""
-        rows = read_ivecs(spark, self.path(root, self.truth), most)
-        return rows.select("qid", F.posexplode("neighbours").alias("rank", "id")).select("qid", (F.col("rank") + 1).alias("rank"), F.col("id").cast("long").alias("id"))
+    base: DataFrame
+    queries: DataFrame
+    truth: DataFrame
+    computed: bool = False
 
 
-#: Fixed: the two public datasets.
-DATASETS = {
-    "sift1m": Dataset("sift1m", 128, "sift", "sift_base.fvecs", "sift_query.fvecs", "sift_groundtruth.ivecs"),
-    "gist1m": Dataset("gist1m", 960, "gist", "gist_base.fvecs", "gist_query.fvecs", "gist_groundtruth.ivecs"),
-}
+def file_paths(root: str, stem: str) -> dict[str, str]:
+    return {part: f"{root}/{stem}/{stem}_{name}" for part, name in FILES.items()}
 
 
-@dataclass(frozen=True)
-class BenchData:
-    name: str
-    base: DataFrame
-    queries: DataFrame
-    truth: DataFrame
-    subsampled: bool
+def missing(root: str, stem: str) -> list[str]:
+    """The parts of a collection whose files can't be read."""
+    out = []
+    for part, path in file_paths(root, stem).items():
+        try:
+            dimension_of(path)
+        except (OSError, VecsError):
+            out.append(part)
+    return out
 
 
-def load_bench(spark: SparkSession, dataset: Dataset, root: str, k: int, most_base: int | None = None, most_queries: int | None = None) -> BenchData:
-    """Base, queries and truth; where the base is cut short, the truth is computed anew, max(k, 100) wide."""
-    base = dataset.load_base(spark, root, most_base)
-    queries = dataset.load_queries(spark, root, most_queries)
-    whole = most_base is None or most_base >= dataset.load_base(spark, root).count()
-    truth = dataset.load_truth(spark, root, most_queries) if whole else knn(queries, base, max(k, 100))
-    return BenchData(dataset.name, base, queries, truth, not whole)
+def open_workload(spark: SparkSession, root: str, stem: str, dim: int, base_rows: int | None = None, query_rows: int | None = None, k: int = 10) -> Workload:
+    """A collection, or its first rows. A truth file speaks of the whole base, so with fewer base rows the truth is searched
+    for, max(k, TRUTH_WIDTH) wide. Vectors of another dimension than `dim` are an error."""
+    paths = file_paths(root, stem)
+    for part in ("base", "queries"):
+        if (found := dimension_of(paths[part])) != dim:
+            raise VecsError(f"{paths[part]}: dimension {found} in place of {dim}")
+    base = read_fvecs(spark, paths["base"], base_rows)
+    queries = read_fvecs(spark, paths["queries"], query_rows).withColumnRenamed("id", "qid")
+    if base_rows is not None and base_rows < count_vectors(paths["base"]):
+        return Workload(stem, base, queries, knn(queries, base, max(k, TRUTH_WIDTH)), True)
+    ranked = read_ivecs(spark, paths["truth"], query_rows).select("qid", F.posexplode("neighbours").alias("place", "near"))
+    return Workload(stem, base, queries, ranked.select("qid", (F.col("place") + 1).alias("rank"), F.col("near").cast("long").alias("id")))
 
 
 def banner(spark: SparkSession) -> DataFrame:
     """key, value: versions and settings that a run depends on."""
-    sc = spark.sparkContext
-    rows = [("spark", spark.version), ("master", sc.master), ("parallelism", str(sc.defaultParallelism)), ("shuffle_partitions", spark.conf.get("spark.sql.shuffle.partitions")), ("adaptive", spark.conf.get("spark.sql.adaptive.enabled"))]
+    keys = ("spark.master", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    rows = [("spark", spark.version), ("parallelism", str(spark.sparkContext.defaultParallelism)), *((k, spark.conf.get(k)) for k in keys)]
     return spark.createDataFrame(rows, "key string, value string")

@@ -15,13 +15,13 @@ from ..operators.hnsw import build_hnsw, hnsw_bytes, search_hnsw
 from ..operators.hnsw_graph import HnswConfig
 from ..operators.ivfpq import IvfPqConfig, build_ivfpq, search_ivfpq, train_coarse
 from ..operators.reports import MEASUREMENT, still_to_run, sweep_grid
-from .catalog import BenchData
+from .catalog import Workload
 
 
-def measure(search: Callable[[], DataFrame], truth: DataFrame, k: int, queries: int, runs: int = 3) -> tuple[float, float, float]:
-    """(mean recall, median and largest microseconds a query) of whole passes over the queries, after one that isn't counted.
+def measure(search: Callable[[], DataFrame], truth: DataFrame, k: int, queries: int, runs: int = 3) -> tuple[float, float, None]:
+    """(mean recall, median microseconds a query, no percentile) of whole passes over the queries, after one that isn't counted.
 
-    A pass is a batch job, so time is the batch's divided by its queries.
+    A pass is a batch job, so time is the batch's divided by its queries, and no query has a latency of its own.
     """
     found = search().persist()
     recall = mean_recall(found, truth, k).first()[0]
@@ -31,14 +31,14 @@ def measure(search: Callable[[], DataFrame], truth: DataFrame, k: int, queries:
         began = time.perf_counter()
         search().write.format("noop").mode("overwrite").save()
         times.append((time.perf_counter() - began) / max(1, queries) * 1e6)
-    return recall, median(times), max(times)
+    return recall, median(times), None
 
 
-def _row(bench: BenchData, index: str, params: str, k: int, measured: tuple[float, float, float], built: float, size: int, base_bytes: int, queries: int, runs: int) -> tuple:
+def _row(bench: Workload, index: str, params: str, k: int, measured: tuple[float, float, None], built: float, size: int, base_bytes: int, queries: int, runs: int) -> tuple:
     return ("tessel", bench.name, index, params, k, *measured, built, size, base_bytes, queries, runs, datetime.now(UTC).isoformat().replace("+00:00", "Z"))
 
 
-def hnsw_sweep(spark: SparkSession, bench: BenchData, config: HnswConfig, beams: Iterable[int], k: int = 10, runs: int = 3, shards: int | None = None) -> DataFrame:
+def hnsw_sweep(spark: SparkSession, bench: Workload, config: HnswConfig, beams: Iterable[int], k: int = 10, runs: int = 3, shards: int | None = None) -> DataFrame:
     """Measurement rows of one build searched with each beam."""
     began = time.perf_counter()
     index = build_hnsw(bench.base, config, shards)
@@ -54,7 +54,7 @@ def hnsw_sweep(spark: SparkSession, bench: BenchData, config: HnswConfig, beams:
     return spark.createDataFrame(rows, MEASUREMENT)
 
 
-def ivfpq_sweep(spark: SparkSession, bench: BenchData, config: IvfPqConfig, probes: Iterable[int], k: int = 10, runs: int = 3, coarse=None) -> DataFrame:  # noqa: ANN001
+def ivfpq_sweep(spark: SparkSession, bench: Workload, config: IvfPqConfig, probes: Iterable[int], k: int = 10, runs: int = 3, coarse=None) -> DataFrame:  # noqa: ANN001
     """Measurement rows of one build searched with each number of lists; more than there are is left out."""
     began = time.perf_counter()
     index = build_ivfpq(bench.base, config, coarse)
@@ -71,7 +71,7 @@ def ivfpq_sweep(spark: SparkSession, bench: BenchData, config: IvfPqConfig, prob
     return spark.createDataFrame(rows, MEASUREMENT)
 
 
-def full_sweep(spark: SparkSession, bench: BenchData, done: DataFrame, write: Callable[[DataFrame], None], grid: DataFrame | None = None, k: int = 10, runs: int = 3) -> int:
+def full_sweep(spark: SparkSession, bench: Workload, done: DataFrame, write: Callable[[DataFrame], None], grid: DataFrame | None = None, k: int = 10, runs: int = 3) -> int:
     """Run every configuration of the grid without a row in done(family, params), a build for each block; how many were run.
 
     The grid is a few hundred rows at most. A coarse quantizer serves all m of its nlist; its time is part of each build.

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessel import queries as registered
+from tessel import built_queries, queries as registered  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "part events orders lineitem embeddings".split()

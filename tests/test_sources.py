@@ -5,30 +5,37 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessel.operators import ivfpq
 from tessel.operators import reports as ops
 from tessel.plans import catalog, sweeps
 from tessel.sources import reports, vecs
 
 
 def test_fvecs_round_trip(spark, tmp_path):
-    rows = np.random.default_rng(7).uniform(-100, 100, (37, 13)).astype(np.float32)
-    path = str(tmp_path / "a.fvecs")
+    rows = np.linspace(-1, 1, 21 * 6, dtype=np.float32).reshape(21, 6) ** 3
+    path = str(tmp_path / "cubes.fvecs")
     vecs.write_vecs(rows, path)
-    got = vecs.read_fvecs(spark, path).orderBy("id").collect()
-    assert [r["id"] for r in got] == list(range(37))
-    assert np.array_equal(np.array([r["vec"] for r in got], np.float32), rows)
-    assert (vecs.count_vectors(path), vecs.dimension_of(path)) == (37, 13)
-    assert vecs.read_fvecs(spark, path, 9).count() == 9
-
-
-def test_ivecs_and_partitions(spark, tmp_path):
-    rows = (np.arange(500, dtype=np.int32) * 31 - 7).reshape(5, 100)
-    path = str(tmp_path / "a.ivecs")
-    vecs.write_vecs(rows, path)
-    vecs.register(spark)
-    df = spark.read.format("ivecs").option("partitionRecords", 2).load(path)
-    assert df.rdd.getNumPartitions() == 3
-    assert [r["neighbours"] for r in df.orderBy("qid").collect()] == rows.tolist()
+    for place in (path, f"file://{path}"):
+        got = {r["id"]: r["vec"] for r in vecs.read_fvecs(spark, place).collect()}
+        assert sorted(got) == list(range(21)) and all(np.array_equal(np.float32(got[k]), rows[k]) for k in got)
+    assert (vecs.count_vectors(path), vecs.dimension_of(path)) == (21, 6)
+    assert sorted(r["id"] for r in vecs.read_fvecs(spark, path, 4).collect()) == [0, 1, 2, 3]
+
+
+def test_folders_written_by_tasks(spark, tmp_path):
+    """A table written in ranges reads back in its order, also in small partitions and cut short; nothing temporary stays."""
+    path = f"file://{tmp_path}/squares"
+    table = spark.range(40, 0, -1).selectExpr("id AS n", "array(cast(id AS int), cast(id * id AS int))").repartition(5)
+    vecs.write_table(table, path, "ivecs")
+    assert vecs.count_vectors(path) == 40 and not (tmp_path / "squares" / "_temporary").exists()
+    read = spark.read.format("ivecs").option("partitionRecords", 7).load(path)
+    assert {r["qid"]: r["neighbours"] for r in read.collect()} == {n - 1: [n, n * n] for n in range(1, 41)}
+    assert [r["qid"] for r in vecs.read_ivecs(spark, path, 9).orderBy("qid").collect()] == list(range(9))
+    vecs.write_vecs(np.zeros((2, 3), np.int32), str(tmp_path / "squares" / "part-z"))
+    with pytest.raises(vecs.VecsError, match="different dimensions"):
+        vecs.count_vectors(path)
+    with pytest.raises(Exception, match="one dimension"):
+        vecs.write_table(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "n long, v array<double>").coalesce(1), f"{tmp_path}/uneven", "fvecs")
 
 
 def test_bad_files(tmp_path):
@@ -43,23 +50,24 @@ def test_bad_files(tmp_path):
         list(vecs.read_chunks(str(tmp_path / "ragged"), vecs.layout_of(str(tmp_path / "ragged")), 0, 2, "<f4"))
 
 
-def test_bench_data_recomputes_truth(spark, tmp_path):
+def test_workloads(spark, tmp_path):
     rng = np.random.default_rng(1)
-    data = catalog.Dataset("tiny", 4, "tiny", "b.fvecs", "q.fvecs", "t.ivecs")
-    assert not data.is_available(str(tmp_path))
+    root, paths = str(tmp_path), catalog.file_paths(str(tmp_path), "tiny")
+    assert catalog.missing(root, "tiny") == ["base", "queries", "truth"]
     (tmp_path / "tiny").mkdir()
-    base, queries = rng.normal(size=(30, 4)).astype(np.float32), rng.normal(size=(3, 4)).astype(np.float32)
-    vecs.write_vecs(base, data.path(str(tmp_path), data.base))
-    vecs.write_vecs(queries, data.path(str(tmp_path), data.queries))
-    vecs.write_vecs(np.arange(6, dtype=np.int32).reshape(3, 2), data.path(str(tmp_path), data.truth))
-    whole = catalog.load_bench(spark, data, str(tmp_path), 2)
-    assert not whole.subsampled and whole.truth.count() == 6
-    cut = catalog.load_bench(spark, data, str(tmp_path), 2, most_base=20)
-    assert cut.subsampled and cut.truth.agg(F.max("id")).first()[0] < 20
-    rows = sweeps.ivfpq_sweep(spark, cut, __import__("tessel.operators.ivfpq", fromlist=["x"]).IvfPqConfig(nlist=2, m=2, iterations=2), [1, 2, 5], k=2, runs=1)
-    assert [r["params"] for r in rows.orderBy("params").collect()] == ["nlist=2,m=2,nprobe=1", "nlist=2,m=2,nprobe=2"]
+    vecs.write_vecs(rng.normal(size=(24, 4)).astype(np.float32), paths["base"])
+    vecs.write_vecs(rng.normal(size=(5, 4)).astype(np.float32), paths["queries"])
+    vecs.write_vecs(np.array([[4, 9, 2]] * 5, np.int32), paths["truth"])
+    assert not catalog.missing(root, "tiny")
+    whole = catalog.open_workload(spark, root, "tiny", 4, query_rows=3)
+    assert not whole.computed and sorted(map(tuple, whole.truth.collect())) == [(q, r, i) for q in range(3) for r, i in ((1, 4), (2, 9), (3, 2))]
+    part = catalog.open_workload(spark, root, "tiny", 4, base_rows=15)
+    assert part.computed and part.truth.agg(F.max("id")).first()[0] < 15 and part.truth.count() == 5 * 15
+    rows = sweeps.ivfpq_sweep(spark, part, ivfpq.IvfPqConfig(nlist=2, m=2, iterations=2), [1, 2, 5], k=2, runs=1)
+    assert [(r["params"], r["p95_latency_us"]) for r in rows.orderBy("params").collect()] == [("nlist=2,m=2,nprobe=1", None), ("nlist=2,m=2,nprobe=2", None)]
+    assert ",," in rows.select(ops.csv_row(rows)).first()[0]
     with pytest.raises(vecs.VecsError):
-        catalog.Dataset("tiny", 5, "tiny", "b.fvecs", "q.fvecs", "t.ivecs").load_base(spark, str(tmp_path))
+        catalog.open_workload(spark, root, "tiny", 5)
     assert catalog.banner(spark).count() == 5
 
 

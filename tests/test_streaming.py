@@ -23,7 +23,7 @@ def test_stream_of_queries(spark, tmp_path):
 def test_resumable_sweep(spark):
     rng = np.random.default_rng(2)
     base, queries = frame(spark, rng.normal(size=(120, 8))).persist(), frame(spark, rng.normal(size=(5, 8)), "qid").persist()
-    bench = catalog.BenchData("tiny", base, queries, knn(queries, base, 10).persist(), True)
+    bench = catalog.Workload("tiny", base, queries, knn(queries, base, 10).persist())
     grid = spark.createDataFrame([("hnsw", "M=4,efC=20,ef=16"), ("hnsw", "M=4,efC=20,ef=32"), ("ivfpq", "nlist=4,m=3,nprobe=2")], "family string, params string")
     done = spark.createDataFrame([("hnsw", "M=4,efC=20,ef=16")], "family string, params string")
     rows = []

@@ -95,12 +95,12 @@ def quoting_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", reports.repair_quoting(line).alias("line"))
 
 
-@_query(f"WITH {_V}, {_KNN} SELECT qid AS query, round(round(sqrt(max(dist) FILTER (rank = 1)), 4), 3) AS d1, round(round(sqrt(max(dist) FILTER (rank = 10)), 4), 3) AS dk FROM truth GROUP BY qid")
+@_query(f"WITH {_V}, {_KNN} SELECT qid AS query, round(sqrt(max(dist) FILTER (rank = 1)), 4) AS d1, round(sqrt(max(dist) FILTER (rank = 10)), 4) AS dk FROM truth GROUP BY qid")
 def per_query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "per-query")
     files.write_per_query(failure_analysis(spark, sf_dir), path)
     back = spark.read.option("header", True).csv(path)
-    return back.select(F.col("query").cast("long").alias("query"), *(F.round(F.col(c).cast("double"), 3).alias(c) for c in ("d1", "dk")))
+    return back.select(F.col("query").cast("long").alias("query"), *(F.col(c).cast("double").alias(c) for c in ("d1", "dk")))
 
 
 @_query(

@@ -15,7 +15,7 @@ from .functions import params
 from .functions.vectors import l2_squared
 from .operators import evaluation, hnsw, ivfpq, kmeans, knn, pq, reports
 from .operators.hnsw_graph import HnswConfig
-from .queries import _CENT, _KNN, _MEAS, _V, K, _query, _table, asked, failure_analysis, mean_matrix, measurements, vectors
+from .queries import _CENT, _KNN, _MEAS, _V, K, _found, _query, _table, asked, knn_graph, mean_matrix, measurements, vectors
 from .sources import reports as files
 from .sources import vecs
 from .storage import shared_folder
@@ -98,7 +98,7 @@ def quoting_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_V}, {_KNN} SELECT qid AS query, round(sqrt(max(dist) FILTER (rank = 1)), 4) AS d1, round(sqrt(max(dist) FILTER (rank = 10)), 4) AS dk FROM truth GROUP BY qid")
 def per_query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "per-query")
-    files.write_per_query(failure_analysis(spark, sf_dir), path)
+    files.write_per_query(evaluation.failure_analysis(*_found(spark, sf_dir), K, hnsw.orphans(*knn_graph(spark, sf_dir))), path)
     back = spark.read.option("header", True).csv(path)
     return back.select(F.col("query").cast("long").alias("query"), *(F.col(c).cast("double").alias(c) for c in ("d1", "dk")))
 

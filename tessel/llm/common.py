@@ -21,7 +21,20 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Bytes of a batch of rows on its way to a Python worker, in place of Spark's 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of whole texts are bounded in bytes, not by rows alone; a session's own smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset a local master gets a temporary folder; a cluster gets an error,
     since a machine-local folder would lose data there.
     """
+    bound_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -98,6 +112,21 @@ def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return out.where(F.col("filter_bits").bitwiseAND(F.col(mask)) == F.col(mask)).select(*df.columns)
 
 
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key isn't among the keys of gone(key); rows of a null key stay.
+
+    Rows that the filter of the keys lets out stay where they are; only the others, which are about those that go, are
+    shuffled to be looked up.
+    """
+    wanted = bit_filter(gone, gone.columns[0])
+    row, bits = _filter_place(F.col(key), wanted._tessel_rows)
+    at, held = fresh_name(df, "filter_at"), fresh_name(df, "filter_held")
+    seen = df.withColumn(at, row).join(F.broadcast(wanted.select(F.col("filter_row").alias(f"{at}_row"), F.col("filter_bits").alias(held))), F.col(at) == F.col(f"{at}_row"), "left")
+    maybe = F.coalesce(F.col(held).bitwiseAND(bits) == bits, F.lit(False))
+    asked = seen.where(maybe).select(*df.columns).join(gone.hint("merge"), F.col(key) == gone[gone.columns[0]], "left_anti")
+    return seen.where(~maybe).select(*df.columns).unionAll(asked)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have."""
     have = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bit_filter, blocks_of, discard, fresh_name, materialise, maybe_in, mix64, scaled, shingle_set, word_hashes
+from .common import GOLDEN, bit_filter, blocks_of, discard, fresh_name, materialise, maybe_in, mix64, scaled, shingle_set, without, word_hashes
 from .components import connected_components
 
 #: Bands grow by this factor.
@@ -42,8 +42,10 @@ BLOCK_MEMBERS = 4096
 DEALS = 8
 #: Keys that one task sorts, about.
 TASK_KEYS = 2_000_000
+#: Shingles of candidates that are looked up at once.
+LOOKUP = 1 << 18
 #: Bytes of text that a task turns into sets at once, or one longer text.
-TEXT_BLOCK = 16 << 20
+TEXT_BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -259,6 +261,7 @@ def join_sets(sets: list[np.ndarray], threshold: Threshold, left: np.ndarray, ri
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(order, sizes[order])
     shingle, local = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    local = local.astype(np.int32)  # a block's shingles are far fewer
     starts = np.zeros(len(sets) + 1, np.int64)
     starts[order + 1] = sizes[order]
     starts = np.cumsum(starts)
@@ -266,13 +269,16 @@ def join_sets(sets: list[np.ndarray], threshold: Threshold, left: np.ndarray, ri
     while 2 * bits < sizes[order].max():
         bits *= 2
     maps = bitmaps(local, owner, len(sets), bits)
-    mark = np.zeros(len(shingle), np.int64)
+    mark = np.zeros(len(shingle), np.int32)
     for i, j in screened(sizes, maps, threshold, left, right):
         mark[local[starts[i] : starts[i + 1]]] = 1
-        n = sizes[j]
-        ends = np.cumsum(n)
-        at = np.repeat(starts[j] - (ends - n), n) + np.arange(ends[-1])
-        common = np.add.reduceat(mark[local[at]], ends - n)
+        parts = []
+        for some in np.split(j, np.flatnonzero(np.diff(np.cumsum(sizes[j]) // LOOKUP)) + 1):
+            n = sizes[some]
+            ends = np.cumsum(n)
+            at = np.repeat(starts[some] - (ends - n), n) + np.arange(ends[-1])
+            parts.append(np.add.reduceat(mark[local[at]], ends - n))
+        common = np.concatenate(parts)
         mark[local[starts[i] : starts[i + 1]]] = 0
         j = j[threshold.links(common, sizes[j] + sizes[i])]
         if len(j):
@@ -403,7 +409,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, bl
     by_class = materialise(by_class, "members")
     # texts that no group needs stay where they are
     texts = maybe_in(docs.select("doc_id", "text"), "doc_id", bit_filter(by_class.select("lead"), "lead"))
-    texts = texts.join(by_class, F.col("doc_id") == F.col("lead")).select("text", "class", "set_a", "set_b", "copies", "seats")
+    texts = texts.join(by_class.hint("merge"), F.col("doc_id") == F.col("lead")).select("text", "class", "set_a", "set_b", "copies", "seats")
     sets = texts.mapInArrow(_setter(shingle), f"class long, copies long, seats {dict(by_class.dtypes)['seats']}, n long, set binary")
     # rows of a repeated doc_id bring the same set again
     seated = sets.select("class", "copies", "n", "set", F.explode("seats").alias("seat")).select("class", "copies", "n", "set", "seat.*")
@@ -483,7 +489,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Da
     found = ngram_jaccard_join(docs, shingle, percent)
     name = fresh_name(docs, "gone")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    rest = without(docs, "doc_id", gone)
     if not _repeats(docs.where("doc_id is not null")):
         return rest
     return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bit_filter, blocks_of, discard, fresh_name, materialise, maybe_in, mix64, scaled, shingle_set, without, word_hashes
+from .common import GOLDEN, bit_filter, blocks_of, discard, fresh_name, lean, lean_group, materialise, maybe_in, mix64, scaled, shingle_set, without, word_hashes
 from .components import connected_components
 
 #: Bands grow by this factor.
@@ -217,9 +217,9 @@ def meetings(classes: DataFrame) -> DataFrame:
     """group, class: the classes that share a key, under the smallest of them; from rows (class, n_keys, keys)."""
     n = classes.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
     tasks = max(classes.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_KEYS))
-    keyed = classes.select("class", "keys").mapInArrow(_key_rows, "class long, key long")
+    keyed = classes.select("class", "keys").mapInArrow(lean(_key_rows), "class long, key long")
     dealt = keyed.repartitionByRange(tasks, "key", "class").sortWithinPartitions("key", "class")
-    found = materialise(dealt.mapInArrow(_groups, "group long, class long, edge long").distinct(), "meetings")
+    found = materialise(dealt.mapInArrow(lean(_groups), "group long, class long, edge long").distinct(), "meetings")
     # a task brings one row of its last key, and rows of its first one under one group: at most two groups a task
     roots = found.where("edge is not null").groupBy("edge").agg(F.min("group").alias("root"))
     out = found.join(F.broadcast(roots), "edge", "left").select(F.coalesce("root", "group").alias("group"), "class").distinct()
@@ -387,7 +387,7 @@ def _tile(threshold: Threshold) -> Callable:
 def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, block_members: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, bool]:
     """signed rows, those that can link, their classes, stars of linked classes with link counts, whether doc_ids are repeated."""
     threshold = Threshold(percent)
-    signed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_signer(shingle, threshold), SIGNATURE)
+    signed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(_signer(shingle, threshold)), SIGNATURE)
     signed = materialise(signed, "signatures")
     whole = signed.where("doc_id is not null and n_shingles > 0")
     repeats = _repeats(whole)
@@ -399,7 +399,7 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, bl
     met = meetings(classes)
     info = classes.select("class", F.col("n_shingles").alias("n"), "bits")
     screen = _seated(met.withColumn("weight", F.lit(1)), block_members).join(info, "class").select("class", "n", "bits", "seat.*")
-    close = connected_components(screen.groupBy("tile", "low", "high").applyInPandas(_screen(threshold), "a long, b long"))
+    close = connected_components(screen.groupBy("tile", "low", "high").applyInPandas(lean_group(_screen(threshold)), "a long, b long"))
     near = materialise(close.withColumnRenamed("component", "group"), "groups")
     discard(close)
 
@@ -410,11 +410,11 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, bl
     # texts that no group needs stay where they are
     texts = maybe_in(docs.select("doc_id", "text"), "doc_id", bit_filter(by_class.select("lead"), "lead"))
     texts = texts.join(by_class.hint("merge"), F.col("doc_id") == F.col("lead")).select("text", "class", "set_a", "set_b", "copies", "seats")
-    sets = texts.mapInArrow(_setter(shingle), f"class long, copies long, seats {dict(by_class.dtypes)['seats']}, n long, set binary")
+    sets = texts.mapInArrow(lean(_setter(shingle)), f"class long, copies long, seats {dict(by_class.dtypes)['seats']}, n long, set binary")
     # rows of a repeated doc_id bring the same set again
     seated = sets.select("class", "copies", "n", "set", F.explode("seats").alias("seat")).select("class", "copies", "n", "set", "seat.*")
     seated = _once(seated, ["class", "tile", "low", "high"], repeats)
-    found = seated.groupBy("tile", "low", "high").applyInPandas(_tile(threshold), "a long, b long, links long")
+    found = seated.groupBy("tile", "low", "high").applyInPandas(lean_group(_tile(threshold)), "a long, b long, links long")
     found = materialise(found, "links")
     for used in (met, near, by_class):
         discard(used)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks_of, shared_dir
+from .common import blocks_of, lean, shared_dir
 from .pfor import decode_segment, encode_segment
 
 #: A segment is closed at the first document at which it holds so many ids, or some more.
@@ -128,7 +128,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     Null texts are empty and give the end id alone. No rows give files without segments.
     """
     dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(_writer(tokenizer_file, end_id, segment_ids), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(lean(_writer(tokenizer_file, end_id, segment_ids)), SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = files.select("part", "start", "payload").mapInArrow(_read, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "start", "payload").mapInArrow(lean(_read), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_of, discard, hash_sample, materialise
+from .common import blocks_of, discard, hash_sample, lean, materialise
 
 #: Labelled rows of the fitted sample.
 SAMPLE_ROWS = 12_000
@@ -136,13 +136,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     if not n_bad or n_bad == n:
         discard(texts)
         return nothing
-    seen = texts.mapInArrow(_presence, "word long, toxic boolean").groupBy("word").agg(F.count("*").alias("held"), F.count_if("toxic").alias("bad")).where(F.col("held") >= LEAST_ROWS)
+    seen = texts.mapInArrow(lean(_presence), "word long, toxic boolean").groupBy("word").agg(F.count("*").alias("held"), F.count_if("toxic").alias("bad")).where(F.col("held") >= LEAST_ROWS)
     expected = F.col("held") * F.lit(n_bad / n)
     strength = (F.col("bad") - expected) ** 2 / (expected * F.lit(1 - n_bad / n))
     best = seen.withColumn("strength", strength).where(F.col("strength") >= LEAST_STRENGTH).orderBy(F.desc("strength"), "word").limit(features).collect()
     best = sorted((np.int64(r["word"]).view(np.uint64), r["held"], r["bad"]) for r in best)
     words, held, bad = np.array([w for w, *_ in best], np.uint64), *(np.array([b[k] for b in best], np.float64) for k in (1, 2))
-    got = texts.mapInArrow(_counter(words), "toxic int, at binary, n binary").toPandas()
+    got = texts.mapInArrow(lean(_counter(words)), "toxic int, at binary, n binary").toPandas()
     discard(texts)
     got = got.sort_values(["toxic", "at", "n"], kind="stable")  # the same sums whatever the order of the rows
     toxic = got["toxic"].to_numpy(np.int64)
@@ -174,7 +174,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, reject_at: float = 0.5
     One row for each row of docs(doc_id, text). Null and empty texts have no words and the score
     of a text without any weighed word; a null doc_id stays null; other columns are ignored.
     """
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, severity double, p_toxic double")
+    scored = docs.select("doc_id", "text").mapInArrow(lean(_scorer(model)), "doc_id long, severity double, p_toxic double")
     return scored.withColumn("toxic", F.col("p_toxic") >= reject_at)
 
 
@@ -187,4 +187,4 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, reject_at: float = 0.5)
             stays = [model.above(texts[k : k + 256].to_pylist())[:, 0] < reject_at for k in range(0, batch.num_rows, 256)]
             yield batch.filter(pa.array(np.concatenate(stays) if stays else np.empty(0, bool)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

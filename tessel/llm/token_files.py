@@ -18,6 +18,8 @@ from .pfor import decode_segment, encode_segment
 
 #: A segment is closed at the first document at which it holds so many ids, or some more.
 SEGMENT_IDS = 1 << 20
+#: Bytes of text that a task encodes at once, or one longer text.
+TEXT_BLOCK = 4 << 20
 #: Distinct words held with their ids by one Python worker; beyond it the table starts afresh.
 TABLE_ENTRIES = 300_000
 
@@ -80,8 +82,9 @@ class WordEncoder:
         table, at = np.frombuffer(b"".join(ids), "<u4"), np.concatenate(([0], np.cumsum(n_of)))
         each = n_of[index]
         ends = np.concatenate(([0], np.cumsum(each)))
-        out = table[np.repeat(at[index] - ends[:-1], each) + np.arange(ends[-1])]
-        return out, np.diff(ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
+        place = np.repeat(at[index] - ends[:-1], each)
+        place += np.arange(ends[-1])
+        return table[place], np.diff(ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
 
 
 def word_encoder(file: str) -> WordEncoder:
@@ -103,7 +106,7 @@ def _writer(file: str, end_id: int, segment_ids: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seq", "start", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for a, b in blocks_of(batch.column("text"), 4 << 20):
+            for a, b in blocks_of(batch.column("text"), TEXT_BLOCK):
                 ids, n = encoder.encode(batch.column("text")[a:b])
                 held.append(np.insert(ids, np.cumsum(n), end_id).astype(np.uint32))
                 lengths.append((n + 1).astype(np.uint32))

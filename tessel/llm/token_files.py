@@ -17,9 +17,9 @@ from .common import blocks_of, lean, shared_dir
 from .pfor import decode_segment, encode_segment
 
 #: A segment is closed at the first document at which it holds so many ids, or some more.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 #: Bytes of text that a task encodes at once, or one longer text.
-TEXT_BLOCK = 4 << 20
+TEXT_BLOCK = 2 << 20
 #: Distinct words held with their ids by one Python worker; beyond it the table starts afresh.
 TABLE_ENTRIES = 300_000
 
@@ -47,14 +47,14 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.entries = entries
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        """Ids of lower-case letters or one mark, which are a word of the table like another."""
+        found = self.words.get(piece)
         if found is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self.words[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
     def _word(self, word: str) -> bytes:
@@ -67,8 +67,6 @@ class WordEncoder:
         """(ids of all texts one after another, number of ids of each text)."""
         if len(self.words) > self.entries:
             self.words.clear()
-        if len(self.pieces) > self.entries:
-            self.pieces.clear()
         cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = cut.flatten().dictionary_encode()
         known, ids = self.words, []

@@ -177,6 +177,27 @@ def test_mixture_under_a_budget_and_its_order(spark):
     assert mixing.mixing_schedule(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_exponent_from_the_table_of_sources(spark):
+    tokens = {f"s{k}": 3 + k * k * k for k in range(40)}
+    rows = spark.createDataFrame([(s, 1, t) for s, t in tokens.items()] + [("empty", 4, 0)], "mix_source string, n long, t long")
+    held = mixing.Totals(rows, len(tokens), min(tokens.values()), max(tokens.values()))
+    for target, budget in ((mixing.Target(), None), (mixing.Target(3.0), 2.0 * sum(tokens.values())), (mixing.Target(None, 0.9), None)):
+        want = mixing.bisect_exponent(tokens, target, budget)
+        assert mixing.smallest_exponent(held.flat_enough(target, budget)) == pytest.approx(want, abs=1e-9)
+    z = held.sums([0.5])[0][0]
+    assert held.covering_budget(z) == pytest.approx(mixing.covering_budget(tokens, mixing.weights_at(tokens, 0.5)))
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    rows, docs = mixed(spark)
+    want = sorted(map(str, mixing.mixing_schedule(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(str, mixing.mixing_schedule(docs).collect())) == want
+    many = spark.range(0, 120_000).selectExpr("id AS doc_id", "concat('a b', if(id % 2 = 0, ' c', '')) AS text", "concat('site', id) AS source")
+    out = mixing.mixing_schedule(many)
+    assert out.select("doc_id").distinct().count() == 120_000  # every row of every source is used
+
+
 def test_cut_pass_takes_the_first_rows_of_the_order(spark):
     """Against a plain walk through the order."""
     rows, docs = mixed(spark, 400)

@@ -23,6 +23,9 @@ TEXT_BLOCK = 2 << 20
 #: Distinct words held with their ids by one Python worker; beyond it the table starts afresh.
 TABLE_ENTRIES = 300_000
 
+#: An ASCII letter and the run of other printable ASCII after it, no digits, up to white space or the end.
+MARKS_AT_END = r"([a-z])([!-/:-@\[-`{-~]+)([\t\n\f\r ]|$)"
+
 SEGMENT_SCHEMA = "part int, seq int, start long, n_docs int, n_ids long, payload binary"
 
 #: Byte-level vocabularies write bytes that have no printable Latin-1 character as these.
@@ -46,28 +49,46 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.entries = entries
 
+    def _letters(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         """Ids of lower-case letters or one mark, which are a word of the table like another."""
         found = self.words.get(piece)
         if found is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-            found = self.words[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = self.words[piece] = self._letters(shown)
         return found
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            return self._letters(word)
         core, end = (word[:-1], word[-1]) if word[-1:] in ",." else (word, "")
         if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
             return self._piece(core.lower()) + (self._piece(end) if end else b"")
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def _loosened(self, texts: pa.StringArray) -> pa.StringArray:
+        """Texts of the same ids with fewer distinct words: letters lower-cased, marks at a word's end set apart.
+
+        A text that may hold an added token, which is found as it is written, stays as it is.
+        """
+        loose = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS_AT_END, r"\1 \2\3")
+        for token in self.added:
+            named = pc.match_substring(texts, token, ignore_case=True)
+            if pc.any(named).as_py():
+                loose = pc.if_else(named, texts, loose)
+        return loose
+
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
         if len(self.words) > self.entries:
             self.words.clear()
-        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        cut = pc.ascii_split_whitespace(self._loosened(pc.fill_null(texts, "")))
         coded = cut.flatten().dictionary_encode()
         known, ids = self.words, []
         for w in coded.dictionary.to_pylist():

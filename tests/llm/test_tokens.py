@@ -32,6 +32,22 @@ def test_word_encoder_is_the_library(library):
         assert encoded(encoder, ODD) == [e.ids for e in library.encode_batch(ODD, add_special_tokens=False)]
 
 
+def test_words_with_marks_and_added_tokens(library):
+    texts = [
+        "Hello, World!!! a, b,c, it's. IT'S, don't-- x1, 1, x. ... 'tis' o'' =\u0338 a=\u0338 e\u0301, E\u0301! \u212a, \u0130. a%%%\x0bb,\x1c c;\u00a0d",
+        "A<|endoftext|>, <|ENDOFTEXT|>! <|startoftext|>Abc, <|endoftext|", "z~`,^_^ \x7f, q\x7f, [a] (b) {c} <d> |e|", None, "", ",", "A", "a,", "a,\n\nb.\r\n",
+    ]
+    encoder = token_files.WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    assert encoded(encoder, texts) == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text("aB1,.'!<|> \t\n\x0b\u0301\u00c9\u0338=\u0130\u3002s", max_size=24))
+def test_word_encoder_on_marks(text):
+    encoder = token_files.word_encoder(tokenizer_path("word_bpe_49k.json"))
+    assert encoded(encoder, [text]) == [encoder.tokenizer.encode(text, add_special_tokens=False).ids]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40))
 def test_word_encoder_on_any_text(text):

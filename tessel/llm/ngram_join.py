@@ -8,9 +8,10 @@
    ones must hold an equal part. Equal parts put sets into one tile, that of the smallest class among them. (A
    set that fills too few parts is dealt out again by other hashes.)
 3. In a tile, hashed bitmaps bound overlaps from above: each bit in which two of them differ is a shingle
-   that only one set has. Components of the pairs that the bound leaves are groups.
-4. Only members of groups bring their sets. Within a group the bounds are looked at again, and what they leave
-   is intersected exactly; links leave the task as counts and a star, and components join the stars.
+   that only one set has. Components of the pairs that the bound leaves are groups. A component too large for a block, such as a
+   chain over many tiles, falls to its parts in each tile where these bring fewer sets than its blocks would.
+4. Only members of groups bring their sets, once a group that they are in. Within a group the bounds are looked at again, and what they leave
+   is intersected exactly; two sets that share several groups link in the first of them. Links leave the task as counts and a star, and components join the stars.
 
 No pair of documents leaves a task, so a group of copies costs rows in proportion to its size. Tiles
 of large groups are cut into blocks, each pair of which is a task's work. Keys are dealt out by ranges of
@@ -312,9 +313,12 @@ def _sides(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _screen(threshold: Threshold) -> Callable:
     def screen(rows: pd.DataFrame) -> pd.DataFrame:
-        """Stars of the pairs that bitmaps leave in each group of one tile: rows (group, side, class, n, bits)."""
-        out = [np.empty((0, 2), np.int64)]
-        for _, g in rows.groupby("group", sort=False):
+        """(tile group, least, class) of the pairs that bitmaps leave in each group of one tile: rows (group, side, low, class, n, bits).
+
+        least: the smallest class of a component of those pairs; of a group that is cut into blocks, which are tasks of their own, the group.
+        """
+        out = [np.empty((0, 3), np.int64)]
+        for group, g in rows.groupby("group", sort=False):
             g = g.sort_values(["n", "class"], kind="stable")
             left, right = _sides(g)
             if not len(left):
@@ -325,14 +329,33 @@ def _screen(threshold: Threshold) -> Callable:
             parent, ids = np.arange(len(g)), g["class"].to_numpy()
             for i, js in screened(g["n"].to_numpy(), maps, threshold, left, right):
                 _join(parent, i, js)
-            out.append(_stars(parent, ids))
-        both = np.concatenate(out)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            stars = _stars(parent, ids)
+            least = stars[:, 1] if g["low"].iloc[0] < 0 else np.full(len(stars), group)
+            out.append(np.stack([np.full(len(stars), group), least, stars[:, 0]], axis=1))
+        found = np.concatenate(out)
+        return pd.DataFrame({"tile_group": found[:, 0], "least": found[:, 1], "class": found[:, 2]})
 
     return screen
 
 
+def _first_met(group: int, groups: list[np.ndarray]) -> Callable:
+    """Which js share no smaller group with i than this one; groups: those of each member."""
+    smaller = [np.asarray(x, np.int64)[np.asarray(x, np.int64) < group] for x in groups]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in smaller])))
+    flat = np.concatenate(smaller)
+
+    def keep(i: int, js: np.ndarray) -> np.ndarray:
+        if not len(smaller[i]):
+            return js
+        held = np.concatenate(([0], np.cumsum(np.isin(flat, smaller[i]))))
+        return js[held[starts[js + 1]] == held[starts[js]]]
+
+    return keep
+
+
 def _join(parent: np.ndarray, i: int, js: np.ndarray) -> None:
+    if not len(js):
+        return
     a = _find(parent, i)
     for r in np.unique(parent[js]).tolist():
         b = _find(parent, r)
@@ -359,13 +382,13 @@ def _find(parent: np.ndarray, x: int) -> int:
 
 def _tile(threshold: Threshold) -> Callable:
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links within the groups of one tile: rows (group, side, class, copies, n, set).
+        """Links within the groups of one tile: rows (group, side, class, copies, n, set, groups).
 
         side 0: a block on its own, its members met with each other; 1 and 2: the two blocks of
-        a tile, of which members of different blocks are met.
+        a tile, of which members of different blocks are met. groups: all groups of a class.
         """
         out = []
-        for _, g in rows.groupby(["group"], sort=False):
+        for group, g in rows.groupby("group", sort=False):
             g = g.sort_values(["n", "class"], kind="stable").reset_index(drop=True)
             left, right = _sides(g)
             if not len(left):
@@ -373,7 +396,9 @@ def _tile(threshold: Threshold) -> Callable:
             sets = [np.frombuffer(s, np.uint64) for s in g["set"]]
             copies, links = g["copies"].to_numpy(), np.zeros(len(g), np.int64)
             parent, ids = np.arange(len(g)), g["class"].to_numpy()
+            first_met = _first_met(group, g["groups"].tolist())
             for i, js in join_sets(sets, threshold, left, right):
+                js = first_met(i, js)
                 links[i] += copies[js].sum()
                 links[js] += copies[i]
                 _join(parent, i, js)
@@ -388,20 +413,27 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, bl
     """signed rows, those that can link, their classes, stars of linked classes with link counts, whether doc_ids are repeated."""
     threshold = Threshold(percent)
     signed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lean(_signer(shingle, threshold)), SIGNATURE)
-    signed = materialise(signed, "signatures")
-    whole = signed.where("doc_id is not null and n_shingles > 0")
+    wide = materialise(signed, "signatures")
+    signed = materialise(wide.drop("n_keys", "keys", "bits"), "sets")
+    of_sets = "doc_id is not null and n_shingles > 0"
+    whole = signed.where(of_sets)
     repeats = _repeats(whole)
     # the copies of a class meet by partial results; equal sets have equal keys and bits
     one = lambda c: F.first(c).alias(c)
-    classes = whole.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"), one("n_keys"), one("keys"), one("bits"))
+    classes = wide.where(of_sets).groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies"), one("n_keys"), one("keys"), one("bits"))
     classes = materialise(classes.withColumn("class", F.monotonically_increasing_id() if repeats else F.col("lead")), "classes")
+    discard(wide)  # keys and bits are the classes' from here on, and the next shuffle is the largest
     # tiles: the classes that share a key with a smaller one, seated with it
     met = meetings(classes)
     info = classes.select("class", F.col("n_shingles").alias("n"), "bits")
     screen = _seated(met.withColumn("weight", F.lit(1)), block_members).join(info, "class").select("class", "n", "bits", "seat.*")
-    close = connected_components(screen.groupBy("tile", "low", "high").applyInPandas(lean_group(_screen(threshold)), "a long, b long"))
-    near = materialise(close.withColumnRenamed("component", "group"), "groups")
-    discard(close)
+    close = screen.groupBy("tile", "low", "high").applyInPandas(lean_group(_screen(threshold)), "tile_group long, least long, class long")
+    # two groups of one hash are one group, in which each pair is met once all the same
+    close = materialise(close.select(F.xxhash64("tile_group", "least").alias("group"), "class", "least").distinct(), "parts")
+    whole_groups = connected_components(close.select(F.col("class").alias("a"), F.col("least").alias("b")))
+    near = materialise(_lighter(close.select("group", "class"), whole_groups, classes.select("class", F.col("n_shingles").alias("n")), block_shingles), "groups")
+    for used in (close, whole_groups):
+        discard(used)
 
     members = classes.join(near, F.col("class") == F.col("node")).select("set_a", "set_b", "lead", "class", "copies", "group", F.col("n_shingles").alias("weight"))
     seats = _seated(members, block_shingles)
@@ -412,8 +444,9 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, bl
     texts = texts.join(by_class.hint("merge"), F.col("doc_id") == F.col("lead")).select("text", "class", "set_a", "set_b", "copies", "seats")
     sets = texts.mapInArrow(lean(_setter(shingle)), f"class long, copies long, seats {dict(by_class.dtypes)['seats']}, n long, set binary")
     # rows of a repeated doc_id bring the same set again
-    seated = sets.select("class", "copies", "n", "set", F.explode("seats").alias("seat")).select("class", "copies", "n", "set", "seat.*")
-    seated = _once(seated, ["class", "tile", "low", "high"], repeats)
+    groups = F.array_distinct(F.transform("seats", lambda s: s["group"]))
+    seated = sets.select("class", "copies", "n", "set", groups.alias("groups"), F.explode("seats").alias("seat")).select("class", "copies", "n", "set", "groups", "seat.*")
+    seated = _once(seated, ["class", "group", "low", "high"], repeats)
     found = seated.groupBy("tile", "low", "high").applyInPandas(lean_group(_tile(threshold)), "a long, b long, links long")
     found = materialise(found, "links")
     for used in (met, near, by_class):
@@ -421,6 +454,18 @@ def _linked(docs: DataFrame, shingle: int, percent: int, block_shingles: int, bl
     return signed, whole, classes, found, repeats
 
 
+def _lighter(parts: DataFrame, wholes: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """group, node: wholes(node, component), but for those that are heavier when cut into blocks of `most` than their parts(group, class)."""
+    cut = lambda weight: weight * F.ceil(weight / most)
+    of = sizes.join(wholes, F.col("class") == F.col("node")).select("class", "component", "n")
+    by_whole = of.groupBy("component").agg(cut(F.sum("n")).alias("seated"), F.sum("n").alias("total")).where(f"total > {most}")
+    in_parts = parts.join(of.join(by_whole.select("component"), "component", "left_semi"), "class")
+    by_part = in_parts.groupBy("component", "group").agg(cut(F.sum("n")).alias("w")).groupBy("component").agg(F.sum("w").alias("apart"))
+    split = by_whole.join(by_part, "component").where("apart < seated").select("component")
+    kept = wholes.join(split, "component", "left_anti").select(F.col("component").alias("group"), "node")
+    return kept.unionAll(in_parts.join(split, "component", "left_semi").select("group", F.col("class").alias("node")))
+
+
 def _once(rows: DataFrame, key: list[str], repeats: bool) -> DataFrame:
     """One row a key; without repeated ids there is no more."""
     return rows.dropDuplicates(key) if repeats else rows

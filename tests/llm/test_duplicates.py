@@ -95,6 +95,24 @@ def test_join_in_blocks(spark):
     assert answer(ngram_join.ngram_jaccard_join(df, 3, 90, block_shingles=400)) == brute_join(rows, 3, 90)
 
 
+def test_a_long_chain_is_not_met_as_one_group(spark, monkeypatch):
+    """Each link of a chain of near copies has a tile of its own; as one group, every block of the chain would meet each other one."""
+    words = [f"w{k}" for k in range(4700)]
+    rows = [(k, " ".join(words[9 * k : 9 * k + 92])) for k in range(500)]
+    seats, seated = [], ngram_join._seated
+
+    def counted(members, most):
+        out = seated(members, most)
+        if "set_a" in members.columns:
+            seats.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_seated", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answer(ngram_join.ngram_jaccard_join(df, 3, 80, block_shingles=900)) == brute_join(rows, 3, 80)
+    assert seats[0] < 15 * len(rows)  # 50 blocks of the whole chain are 50 seats a row
+
+
 def test_linked_sets_share_a_tile():
     rng = np.random.default_rng(4)
     for percent in (80, 90):

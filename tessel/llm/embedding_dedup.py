@@ -20,8 +20,9 @@ from ..operators.hnsw_graph import HnswConfig, HnswGraph
 from .common import materialise
 from .components import connected_components
 
-#: Vectors of a shard at most, and the least number of shards.
-SHARD_ROWS, LEAST_SHARDS = 16_384, 6
+#: Vectors of a shard at most, and the least number of shards. Every shard is searched with all vectors, and in a tile of
+#: few links the audit asks all its vectors, so large shards spare both.
+SHARD_ROWS, LEAST_SHARDS = 65_536, 6
 #: Groups of linked vectors that an audit looks for by brute force, searches of each that it repeats at most, and the
 #: share of links that must be found, as a mean over groups.
 AUDIT_GROUPS, AUDIT_MEMBERS, AUDIT_RECALL = 192, 4, 0.99
@@ -66,11 +67,8 @@ class Shard:
     def find(self, queries: np.ndarray, least: float, ef: int) -> list[np.ndarray]:
         """Positions with a cosine of at least `least`, found by the graph and verified, for each query."""
         most = 2 - 2 * least + 1e-9
-        out = []
-        for q, u in zip(queries, _unit(queries), strict=True):
-            near, _ = self.graph.within(u, most, min(ef, len(self.ids)))
-            out.append(near[cosines(q, self.raw[near]) >= least] if len(near) else near)
-        return out
+        found = self.graph.within_each(_unit(queries), most, min(ef, len(self.ids)))
+        return [near[cosines(q, self.raw[near]) >= least] if len(near) else near for q, near in zip(queries, found, strict=True)]
 
     def truth(self, queries: np.ndarray, least: float, own: bool) -> tuple[dict[int, np.ndarray], np.ndarray]:
         """Links by brute force of queries in a fixed shuffled order, and the group of each, until AUDIT_GROUPS groups are met or

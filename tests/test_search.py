@@ -170,3 +170,16 @@ def test_sql_form_takes_any_number_of_queries(spark):
         got = {(r["qid"], r["rank"]): (r["id"], r["dist"]) for r in knn.knn_sql(q, base, 2, metric).collect()}
         assert got == {(r["qid"], r["rank"]): (r["id"], r["dist"]) for r in knn.knn(q, base, 2, metric).collect()}
         assert len(got) == 2 * 20_050
+
+
+def test_beams_of_many_queries_find_what_each_finds():
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(600, 12))
+    base = np.concatenate([base, base[:60].repeat(3, axis=0) + rng.normal(0, 0.05, (180, 12))])
+    graph = HnswGraph.build(base, HnswConfig(m=6, ef_construction=32))
+    queries = np.concatenate([base[:300], rng.normal(size=(40, 12))])
+    for ef in (1, 8, 200):
+        got = graph.within_each(queries, 1.0, ef)
+        assert [sorted(g.tolist()) for g in got] == [sorted(graph.within(q, 1.0, ef)[0].tolist()) for q in queries]
+    assert graph.within_each(queries[:0], 1.0, 8) == []
+    assert [len(g) for g in HnswGraph(base[:0], HnswConfig()).within_each(queries[:2], 1.0, 8)] == [0, 0]
